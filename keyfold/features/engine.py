@@ -28,6 +28,9 @@ from keyfold.session import write_stage
 # Rows of one window group a single task may hold; a larger group is aggregated and joined instead.
 MAX_WINDOW_ROWS = 1_000_000
 
+# Key sets joined in one plan before a stage is written.
+MAX_JOINS = 16
+
 ROWS, FIRST, LAST = "_rows", "_first_", "_last_"
 
 
@@ -80,6 +83,23 @@ def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | N
     return out.select(*target.columns, *[_filled(f) for f in features])
 
 
+def attach_in_blocks(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
+                     large: Sequence[str] = ("user_id",), block: int = MAX_JOINS) -> DataFrame:
+    """``attach`` with a written stage after every ``block`` key sets.
+
+    One plan of a hundred joins is replanned after each of its stages, compiles into methods too
+    large for the JIT, and after a loss may be recomputed from far back.
+    """
+    source = target if source is None else source
+    groups = _finest_first(list(by_key_set(list(features)).values()), large)
+    out = target
+    for start in range(0, len(groups), block):
+        if start:
+            out = write_stage(out, "block")
+        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large)
+    return out.select(*target.columns, *[f.name for f in features])
+
+
 def _cell_columns(features: Sequence[Feature]) -> set[str]:
     """Columns that must tell cells apart: keys and arguments of distinct counts and value counts."""
     kept = {k for f in features for k in f.keys}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def union_labelled(labelled: DataFrame, unlabelled: DataFrame, label: str = LABE
     return labelled.unionByName(padded.select(*labelled.columns))
 
 
+def append(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of frames with the same columns."""
+    return reduce(DataFrame.unionByName, frames)
+
+
 def labelled(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.filter(F.col(label).isNotNull())
 
