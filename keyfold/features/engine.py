@@ -1,6 +1,6 @@
 """Attach per-key aggregates to rows.
 
-Three ways give the same rows, and the tests hold them to it:
+Four ways give the same rows, and the tests hold them to it:
 
 ``attach``                one aggregation per key set, joined back. The general way: aggregation combines
                           on the map side, and adaptive execution broadcasts an aggregate whose measured
@@ -31,6 +31,9 @@ MAX_WINDOW_ROWS = 1_000_000
 # Key sets joined in one plan before a stage is written.
 MAX_JOINS = 16
 
+# Rows per distinct cell from which working on cells pays for the extra pass.
+MIN_COLLAPSE = 4
+
 ROWS, FIRST, LAST = "_rows", "_first_", "_last_"
 
 
@@ -84,7 +87,8 @@ def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | N
 
 
 def attach_in_blocks(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-                     large: Sequence[str] = ("user_id",), block: int = MAX_JOINS) -> DataFrame:
+                     large: Sequence[str] = ("user_id",), cells: bool = False,
+                     block: int = MAX_JOINS) -> DataFrame:
     """``attach`` with a written stage after every ``block`` key sets.
 
     One plan of a hundred joins is replanned after each of its stages, compiles into methods too
@@ -96,16 +100,25 @@ def attach_in_blocks(target: DataFrame, features: Sequence[Feature], source: Dat
     for start in range(0, len(groups), block):
         if start:
             out = write_stage(out, "block")
-        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large)
+        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large, cells)
     return out.select(*target.columns, *[f.name for f in features])
 
 
-def _cell_columns(features: Sequence[Feature]) -> set[str]:
-    """Columns that must tell cells apart: keys and arguments of distinct counts and value counts."""
+def feature_columns(features: Iterable[Feature]) -> set[str]:
+    """Key columns, and the arguments of distinct and value counts, which must tell cells apart."""
+    features = list(features)
     kept = {k for f in features for k in f.keys}
     return kept | {f.arg for f in features if f.kind in ("distinct", "count_col")}
 
 
+def collapsing_sets(source: DataFrame, column_sets: Sequence[Sequence[str]],
+                    min_collapse: float) -> list[Sequence[str]]:
+    """The column sets with at least ``min_collapse`` rows per distinct tuple, estimated in one pass."""
+    estimates = source.agg(F.count(F.lit(1)), *[
+        F.approx_count_distinct(F.xxhash64(*columns)) for columns in column_sets]).first()
+    return [c for c, n in zip(column_sets, estimates[1:]) if n * min_collapse <= estimates[0]]
+
+
 def collapse_to_cells(source: DataFrame, columns: Sequence[str], dates: Iterable[str] = ()) -> DataFrame:
     """Distinct tuples of ``columns`` with their row count and the range of each date column."""
     ranges = [e for d in sorted(set(dates)) for e in (F.min(d).alias(FIRST + d), F.max(d).alias(LAST + d))]
@@ -119,23 +132,37 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach_through_cells(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-                         name: str = "cells") -> DataFrame:
+def attach_through_cells(target: DataFrame, features: Sequence[Feature],
+                         source: DataFrame | None = None) -> DataFrame:
     """Attach features by way of the distinct cells of their columns.
 
     All aggregates read the (stage-written) cells rather than the rows, and only the finished cells
     are joined to the rows, so the number of shuffles of ``target`` does not grow with the features.
     """
     source = target if source is None else source
-    columns = sorted(_cell_columns(features))
+    columns = sorted(feature_columns(features))
     cells = write_stage(
-        collapse_to_cells(source, columns, [f.arg for f in features if f.kind == "span"]), name)
-    finished = attach(cells, features, large=(), cells=True).select(*columns, *[f.name for f in features])
-    joined = null_safe_join(target, finished, columns)
+        collapse_to_cells(source, columns, [f.arg for f in features if f.kind == "span"]), "cells")
+    finished = attach_in_blocks(cells, features, large=(), cells=True)
+    joined = null_safe_join(target, finished.select(*columns, *[f.name for f in features]), columns)
     # A target row whose cell the source lacks matches no group either.
     return joined.select(*target.columns, *[_filled(f) for f in features])
 
 
+def attach_all(rows: DataFrame, features: Sequence[Feature], cell_sets: Sequence[Sequence[str]] = (),
+               min_collapse: float = MIN_COLLAPSE) -> DataFrame:
+    """Attach many features: through cells where a column set is measured to collapse well, by
+    joins in blocks otherwise."""
+    out, left = rows, list(features)
+    for columns in collapsing_sets(rows, cell_sets, min_collapse) if cell_sets else []:
+        inside = [f for f in left if f.kind != "stddev" and feature_columns([f]) <= set(columns)]
+        if inside:
+            out = write_stage(attach_through_cells(out, inside, rows), "through_cells")
+            left = [f for f in left if f not in inside]
+    out = attach_in_blocks(out, left, rows)
+    return out.select(*rows.columns, *[f.name for f in features])
+
+
 def _window_columns(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """Window form of the features; the caller has bounded the rows of every group.
 

@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
+from keyfold.operators.ranking import with_rank
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -23,15 +24,15 @@ def vocabulary(df: DataFrame, text: str, order: str, cap: int = T.VOCABULARY_CAP
 
     Ties go to the word met first, by ``order`` and place in the text. As in the tokenizer this
     follows, the limit is the smaller of ``cap`` and the number of distinct raw words, and only
-    indexes below it are in use. The ranking window sees no more rows than the limit.
+    indexes below it are in use, so the result never has more rows than ``cap``.
     """
     limit = min(cap, df.select(F.explode(T.words(text)).alias("word")).distinct().count())
     met = df.select(F.col(order).alias("_order"), F.posexplode(T.vocabulary_words(text)).alias("_at", "word"))
     counted = met.groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_order", "_at")).alias("_first"))
-    ranking = [F.desc("n"), F.asc("_first")]
-    top = counted.orderBy(*ranking).limit(max(limit - 1, 0))
-    return top.select("word", F.row_number().over(Window.orderBy(*ranking)).alias("idx"), "n")
+    ranked = with_rank(counted, [F.desc("n"), F.asc("_first")], "_rank")
+    return ranked.filter(F.col("_rank") + 1 < limit).select(
+        "word", (F.col("_rank") + 1).cast("int").alias("idx"), "n")
 
 
 def text_to_sequence(df: DataFrame, text: str, id_col: str, vocab: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.features import catalog
-from keyfold.features.engine import attach, attach_in_blocks, attach_stddev
+from keyfold.features.engine import attach, attach_all, attach_stddev
 from keyfold.features.spec import Feature
 from keyfold.functions.scalar import calendar_parts, days_since
 from keyfold.operators.enrich import left_lookup
@@ -31,14 +31,15 @@ def _names(features: Sequence[Feature]) -> list[str]:
     return [f.name for f in features]
 
 
-def feature_table(source: DataFrame, features: Sequence[Feature]) -> DataFrame:
+def feature_table(source: DataFrame, features: Sequence[Feature],
+                  cell_sets: Sequence[Sequence[str]] = ()) -> DataFrame:
     """``(item_id, features)`` computed on rows of nothing but id and key columns.
 
     Many key sets mean many joins; leaving all other columns out keeps small what they shuffle.
     The result joins back once by id.
     """
     columns = sorted({c for f in features for c in (*f.keys, f.arg) if c})
-    return attach_in_blocks(source.select(ID, *columns), features).select(ID, *_names(features))
+    return attach_all(source.select(ID, *columns), features, cell_sets).select(ID, *_names(features))
 
 
 def stage1(items: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def stage3_part2(part1: DataFrame) -> DataFrame:
 
 def stage3(part1: DataFrame) -> DataFrame:
     """Parts two and three in one go, from the written part one."""
-    counted = feature_table(part1, catalog.PART2 + catalog.PART3)
+    counted = feature_table(part1, catalog.PART2 + catalog.PART3, catalog.PAIR_CELLS)
     dropped = {"month", "day", "deal_probability", *catalog.PART3_DROPS}
     kept = [c for c in [*part1.columns, *_names(catalog.PART2)] if c not in dropped]
     return part1.join(counted, ID, "left").select(*kept, *_names(catalog.PART3), "deal_probability")
@@ -93,7 +94,7 @@ def stage4_select(stage4_rows: DataFrame) -> DataFrame:
 
 def stage5_features(items: DataFrame) -> DataFrame:
     """Per item: 54 triple counts, 54 spans and 54 distinct counts over pairs."""
-    return feature_table(items, catalog.STAGE5)
+    return feature_table(items, catalog.STAGE5, catalog.TRIPLE_CELLS)
 
 
 def stage5(stage4_rows: DataFrame, features: DataFrame) -> DataFrame:
