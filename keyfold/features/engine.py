@@ -3,8 +3,8 @@
 Four ways give the same rows, and the tests hold them to it:
 
 ``attach``                one aggregation per key set, joined back. The general way: aggregation combines
-                          on the map side, and adaptive execution broadcasts an aggregate whose measured
-                          size is small or else sort-merges and splits skewed partitions.
+                          on the map side, adaptive execution broadcasts an aggregate whose measured size
+                          is small, and ``join_groups`` keeps heavy keys out of single tasks.
 ``attach_through_cells``  for many key sets inside one column set: collapse the rows to distinct cells
                           first, work on the cells, and touch the wide rows with one join only.
 ``attach_windows``        for key sets that share a leading high-cardinality column: one shuffle on that
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from keyfold.features.spec import Feature, by_key_set
 from keyfold.session import write_stage
 
-# Rows of one window group a single task may hold; a larger group is aggregated and joined instead.
-MAX_WINDOW_ROWS = 1_000_000
+# Rows of one key that a single task may get. Rows of a heavier key are spread over all tasks.
+MAX_GROUP_ROWS = 1_000_000
 
 # Key sets joined in one plan before a stage is written.
 MAX_JOINS = 16
@@ -34,11 +34,11 @@ MAX_JOINS = 16
 # Rows per distinct cell from which working on cells pays for the extra pass.
 MIN_COLLAPSE = 4
 
-ROWS, FIRST, LAST = "_rows", "_first_", "_last_"
+ROWS, FIRST, LAST, GROUP_ROWS = "_rows", "_first_", "_last_", "_group_rows"
 
 
 def _all_present(keys: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return _all_of(F.col(k).isNotNull() for k in keys)
 
 
 def _measure(feature: Feature, cells: bool = False) -> Column:
@@ -60,10 +60,49 @@ def _measure(feature: Feature, cells: bool = False) -> Column:
     return value.alias(feature.name)
 
 
+def _group_rows(cells: bool) -> Column:
+    """Source rows behind a group, which tells heavy groups apart."""
+    return (F.sum(ROWS) if cells else F.count(F.lit(1))).alias(GROUP_ROWS)
+
+
 def aggregate(source: DataFrame, features: Sequence[Feature], cells: bool = False) -> DataFrame:
     """One row per key tuple. NULL tuples could never be matched, so they are not shuffled at all."""
     keys = features[0].keys
-    return source.filter(_all_present(keys)).groupBy(*keys).agg(*[_measure(f, cells) for f in features])
+    return source.filter(_all_present(keys)).groupBy(*keys).agg(
+        *[_measure(f, cells) for f in features], _group_rows(cells))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str],
+                null_safe: bool = False, max_rows: int | None = None) -> DataFrame:
+    """Left-join one-row-per-key ``groups`` to ``rows`` so that no key, however heavy, lands in one task.
+
+    Spark joins an aggregate on the partitioning it already has, and in that form does not split
+    skewed partitions. So groups of more than ``max_rows`` rows are joined by broadcast: there are
+    at most ``rows / max_rows`` of them. The rows they serve, and rows whose NULL key matches
+    nothing, take a random place in the shuffle of the other join instead of their key's place.
+    """
+    limit = MAX_GROUP_ROWS if max_rows is None else max_rows
+    same = Column.eqNullSafe if null_safe else Column.__eq__
+
+    def renamed(df, mark):
+        return df.select(*[F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *values)], F.lit(0).alias(f"_{mark}"))
+
+    heavy = renamed(groups.filter(F.col(GROUP_ROWS) > limit), "h")
+    light = renamed(groups.filter(F.col(GROUP_ROWS) <= limit), "l")
+    served = rows.join(F.broadcast(heavy), _all_of(same(rows[k], heavy[f"_h_{k}"]) for k in keys), "left")
+    aside = F.col("_h").isNotNull()
+    if not null_safe:
+        aside = aside | ~_all_present(keys)
+    place = F.when(aside, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))).otherwise(0)
+    placed = served.withColumn("_place", place)
+    matching = [same(placed[k], light[f"_l_{k}"]) for k in keys] + [placed["_place"] == light["_l"]]
+    joined = placed.join(light, _all_of(matching), "left")
+    return joined.select(*[rows[c] for c in rows.columns],
+                         *[F.coalesce(f"_h_{v}", f"_l_{v}").alias(v) for v in values])
+
+
+def _all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def _filled(feature: Feature) -> Column:
@@ -77,12 +116,13 @@ def _finest_first(groups: list[list[Feature]], large: Sequence[str]) -> list[lis
 
 
 def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-           large: Sequence[str] = ("user_id",), cells: bool = False) -> DataFrame:
+           large: Sequence[str] = ("user_id",), cells: bool = False, max_rows: int | None = None) -> DataFrame:
     """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target)."""
     source = target if source is None else source
     out = target
     for group in _finest_first(list(by_key_set(list(features)).values()), large):
-        out = out.join(aggregate(source, group, cells), list(group[0].keys), "left")
+        out = join_groups(out, aggregate(source, group, cells), group[0].keys, [f.name for f in group],
+                          max_rows=max_rows)
     return out.select(*target.columns, *[_filled(f) for f in features])
 
 
@@ -143,8 +183,8 @@ def attach_through_cells(target: DataFrame, features: Sequence[Feature],
     columns = sorted(feature_columns(features))
     cells = write_stage(
         collapse_to_cells(source, columns, [f.arg for f in features if f.kind == "span"]), "cells")
-    finished = attach_in_blocks(cells, features, large=(), cells=True)
-    joined = null_safe_join(target, finished.select(*columns, *[f.name for f in features]), columns)
+    finished = attach_in_blocks(cells, features, large=(), cells=True).withColumnRenamed(ROWS, GROUP_ROWS)
+    joined = join_groups(target, finished, columns, [f.name for f in features], null_safe=True)
     # A target row whose cell the source lacks matches no group either.
     return joined.select(*target.columns, *[_filled(f) for f in features])
 
@@ -196,12 +236,12 @@ def _window_columns(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
 
 
 def attach_windows(df: DataFrame, features: Sequence[Feature], lead: str,
-                   max_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                   max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Attach features whose keys all contain ``lead`` with one shuffle on ``lead``.
 
     Values of ``lead`` with more than ``max_rows`` rows (and NULL, which matches nothing) take the
-    join path, where groups are combined before the shuffle and skewed partitions are split. There
-    are at most ``rows / max_rows`` such values, which bounds the broadcast list of them.
+    join path, where groups are combined before the shuffle and heavy ones are spread. There are
+    at most ``rows / max_rows`` such values, which bounds the broadcast list of them.
     """
     wrong = [f.name for f in features if lead not in f.keys]
     if wrong:
@@ -237,11 +277,13 @@ def attach_grouping_sets(df: DataFrame, features: Sequence[Feature]) -> DataFram
     out = df
     for f, set_id in zip(features, ids):
         counts = grouped.filter((F.col("_set") == set_id) & _all_present(f.keys))
-        out = out.join(counts.select(*f.keys, F.col(ROWS).alias(f.name)), list(f.keys), "left")
+        counts = counts.select(*f.keys, F.col(ROWS).alias(f.name), F.col(ROWS).alias(GROUP_ROWS))
+        out = join_groups(out, counts, f.keys, [f.name])
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 
-def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False) -> DataFrame:
+def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False,
+                  max_rows: int | None = None) -> DataFrame:
     """Standard deviation per partition, in which rows with a NULL key form a partition of their own.
 
     The window form would put a whole region into one task; partial aggregation and a null-safe
@@ -251,8 +293,10 @@ def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = Fa
     for group in _finest_first(list(by_key_set(list(features)).values()), ("user_id",)):
         (key,) = group[0].keys
         part = whole_number(key) if rounded else F.col(key)
-        stats = df.groupBy(part.alias("_part")).agg(*[F.stddev_samp(f.arg).alias(f.name) for f in group])
-        out = null_safe_join(out.withColumn("_part", part), stats, ["_part"]).drop("_part")
+        stats = df.groupBy(part.alias("_part")).agg(
+            *[F.stddev_samp(f.arg).alias(f.name) for f in group], _group_rows(cells=False))
+        out = join_groups(out.withColumn("_part", part), stats, ["_part"], [f.name for f in group],
+                          null_safe=True, max_rows=max_rows).drop("_part")
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 
