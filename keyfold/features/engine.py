@@ -73,32 +73,35 @@ def aggregate(source: DataFrame, features: Sequence[Feature], cells: bool = Fals
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str],
-                null_safe: bool = False, max_rows: int | None = None) -> DataFrame:
+                null_safe: bool = False, max_rows: int | None = None,
+                spread: Sequence[str] | None = None) -> DataFrame:
     """Left-join one-row-per-key ``groups`` to ``rows`` so that no key, however heavy, lands in one task.
 
     Spark joins an aggregate on the partitioning it already has, and in that form does not split
     skewed partitions. So groups of more than ``max_rows`` rows are joined by broadcast: there are
     at most ``rows / max_rows`` of them. The rows they serve, and rows whose NULL key matches
-    nothing, take a random place in the shuffle of the other join instead of their key's place.
+    nothing, take a place in the other join's shuffle by a hash of the ``spread`` columns (default:
+    the first, which should be the row's id) instead of their key's place.
     """
     limit = MAX_GROUP_ROWS if max_rows is None else max_rows
-    same = Column.eqNullSafe if null_safe else Column.__eq__
-
-    def renamed(df, mark):
-        return df.select(*[F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *values)], F.lit(0).alias(f"_{mark}"))
-
-    heavy = renamed(groups.filter(F.col(GROUP_ROWS) > limit), "h")
-    light = renamed(groups.filter(F.col(GROUP_ROWS) <= limit), "l")
-    served = rows.join(F.broadcast(heavy), _all_of(same(rows[k], heavy[f"_h_{k}"]) for k in keys), "left")
-    aside = F.col("_h").isNotNull()
-    if not null_safe:
-        aside = aside | ~_all_present(keys)
-    place = F.when(aside, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))).otherwise(0)
-    placed = served.withColumn("_place", place)
-    matching = [same(placed[k], light[f"_l_{k}"]) for k in keys] + [placed["_place"] == light["_l"]]
-    joined = placed.join(light, _all_of(matching), "left")
-    return joined.select(*[rows[c] for c in rows.columns],
-                         *[F.coalesce(f"_h_{v}", f"_l_{v}").alias(v) for v in values])
+    equal = "<=>" if null_safe else "="
+    # Stated as SQL text: each call on a long plan is analysed anew, so few calls matter here.
+    heavy_of = ", ".join([f"`{c}` AS `_h_{c}`" for c in (*keys, *values)] + ["0 AS _h"])
+    light_of = ", ".join([f"`{c}` AS `_l_{c}`" for c in (*keys, *values)] + ["CAST(0 AS BIGINT) AS _l"])
+    heavy_match = " AND ".join(f"r.`{k}` {equal} h.`_h_{k}`" for k in keys)
+    light_match = " AND ".join(f"r.`{k}` {equal} l.`_l_{k}`" for k in keys)
+    aside = " OR ".join(["h._h IS NOT NULL"] + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
+    spread_by = ", ".join(f"`{c}`" for c in (spread or rows.columns[:1]))
+    kept = ", ".join(f"r.`{c}`" for c in rows.columns)
+    found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
+    return rows.sparkSession.sql(f"""
+        SELECT {kept}, {found} FROM (
+            SELECT /*+ BROADCAST(h) */ r.*, h.*,
+                CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END AS _place
+            FROM {{rows}} r
+            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}) r
+        LEFT JOIN (SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}) l
+            ON {light_match} AND r._place = l._l""", rows=rows, groups=groups)
 
 
 def _all_of(conditions: Iterable[Column]) -> Column:
@@ -120,9 +123,10 @@ def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | N
     """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target)."""
     source = target if source is None else source
     out = target
+    spread = target.columns if cells else None
     for group in _finest_first(list(by_key_set(list(features)).values()), large):
         out = join_groups(out, aggregate(source, group, cells), group[0].keys, [f.name for f in group],
-                          max_rows=max_rows)
+                          max_rows=max_rows, spread=spread)
     return out.select(*target.columns, *[_filled(f) for f in features])
 
 

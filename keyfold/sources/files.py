@@ -18,8 +18,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    """CSV with a header. An empty text is written quoted, so it stays apart from NULL."""
-    options = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""'}
+    """CSV with a header. As usual in CSV files, an empty text reads back as missing."""
+    options = {"header": "true", "quote": '"', "escape": '"'}
     df.write.options(**options).csv(path, compression="gzip" if gzip else "none")
 
 
