@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import time
 
 from keyfold.registry import QUERIES
@@ -43,6 +44,7 @@ def main() -> None:
         start = time.perf_counter()
         consume(QUERIES[name](spark, sf_dir))
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -73,35 +73,43 @@ def aggregate(source: DataFrame, features: Sequence[Feature], cells: bool = Fals
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str],
-                null_safe: bool = False, max_rows: int | None = None,
+                null_safe: bool = False, max_rows: int | None = None, source_rows: int | None = None,
                 spread: Sequence[str] | None = None) -> DataFrame:
     """Left-join one-row-per-key ``groups`` to ``rows`` so that no key, however heavy, lands in one task.
 
     Spark joins an aggregate on the partitioning it already has, and in that form does not split
     skewed partitions. So groups of more than ``max_rows`` rows are joined by broadcast: there are
-    at most ``rows / max_rows`` of them. The rows they serve, and rows whose NULL key matches
-    nothing, take a place in the other join's shuffle by a hash of the ``spread`` columns (default:
-    the first, which should be the row's id) instead of their key's place.
+    at most ``source_rows / max_rows`` of them, and none to look for if the source is no larger.
+    The rows they serve, and rows whose NULL key matches nothing, take a place in the other join's
+    shuffle by a hash of the ``spread`` columns (default: the first, which should be the row's id)
+    instead of their key's place.
     """
     limit = MAX_GROUP_ROWS if max_rows is None else max_rows
+    look_for_heavy = source_rows is None or source_rows > limit
     equal = "<=>" if null_safe else "="
     # Stated as SQL text: each call on a long plan is analysed anew, so few calls matter here.
     heavy_of = ", ".join([f"`{c}` AS `_h_{c}`" for c in (*keys, *values)] + ["0 AS _h"])
     light_of = ", ".join([f"`{c}` AS `_l_{c}`" for c in (*keys, *values)] + ["CAST(0 AS BIGINT) AS _l"])
     heavy_match = " AND ".join(f"r.`{k}` {equal} h.`_h_{k}`" for k in keys)
     light_match = " AND ".join(f"r.`{k}` {equal} l.`_l_{k}`" for k in keys)
-    aside = " OR ".join(["h._h IS NOT NULL"] + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
+    aside = " OR ".join((["h._h IS NOT NULL"] if look_for_heavy else [])
+                        + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
     spread_by = ", ".join(f"`{c}`" for c in (spread or rows.columns[:1]))
+    place = f"CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END" if aside else (
+        "CAST(0 AS BIGINT)")
     kept = ", ".join(f"r.`{c}`" for c in rows.columns)
-    found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
-    return rows.sparkSession.sql(f"""
-        SELECT {kept}, {found} FROM (
-            SELECT /*+ BROADCAST(h) */ r.*, h.*,
-                CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END AS _place
-            FROM {{rows}} r
-            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}) r
-        LEFT JOIN (SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}) l
-            ON {light_match} AND r._place = l._l""", rows=rows, groups=groups)
+    if look_for_heavy:
+        found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
+        placed = f"""SELECT /*+ BROADCAST(h) */ r.*, h.*, {place} AS _place FROM {{rows}} r
+            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}"""
+        light = f"SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}"
+    else:
+        found = ", ".join(f"l.`_l_{v}` AS `{v}`" for v in values)
+        placed = f"SELECT r.*, {place} AS _place FROM {{rows}} r"
+        light = f"SELECT {light_of} FROM {{groups}}"
+    return rows.sparkSession.sql(
+        f"SELECT {kept}, {found} FROM ({placed}) r LEFT JOIN ({light}) l ON {light_match} AND r._place = l._l",
+        rows=rows, groups=groups)
 
 
 def _all_of(conditions: Iterable[Column]) -> Column:
@@ -119,14 +127,16 @@ def _finest_first(groups: list[list[Feature]], large: Sequence[str]) -> list[lis
 
 
 def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-           large: Sequence[str] = ("user_id",), cells: bool = False, max_rows: int | None = None) -> DataFrame:
+           large: Sequence[str] = ("user_id",), cells: bool = False, max_rows: int | None = None,
+           source_rows: int | None = None) -> DataFrame:
     """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target)."""
     source = target if source is None else source
     out = target
     spread = target.columns if cells else None
+    source_rows = source.count() if source_rows is None else source_rows
     for group in _finest_first(list(by_key_set(list(features)).values()), large):
         out = join_groups(out, aggregate(source, group, cells), group[0].keys, [f.name for f in group],
-                          max_rows=max_rows, spread=spread)
+                          max_rows=max_rows, source_rows=source_rows, spread=spread)
     return out.select(*target.columns, *[_filled(f) for f in features])
 
 
@@ -140,11 +150,13 @@ def attach_in_blocks(target: DataFrame, features: Sequence[Feature], source: Dat
     """
     source = target if source is None else source
     groups = _finest_first(list(by_key_set(list(features)).values()), large)
+    source_rows = source.count()
     out = target
     for start in range(0, len(groups), block):
         if start:
             out = write_stage(out, "block")
-        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large, cells)
+        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large, cells,
+                     source_rows=source_rows)
     return out.select(*target.columns, *[f.name for f in features])
 
 
@@ -188,7 +200,8 @@ def attach_through_cells(target: DataFrame, features: Sequence[Feature],
     cells = write_stage(
         collapse_to_cells(source, columns, [f.arg for f in features if f.kind == "span"]), "cells")
     finished = attach_in_blocks(cells, features, large=(), cells=True).withColumnRenamed(ROWS, GROUP_ROWS)
-    joined = join_groups(target, finished, columns, [f.name for f in features], null_safe=True)
+    joined = join_groups(target, finished, columns, [f.name for f in features], null_safe=True,
+                         source_rows=source.count())
     # A target row whose cell the source lacks matches no group either.
     return joined.select(*target.columns, *[_filled(f) for f in features])
 
@@ -278,11 +291,11 @@ def attach_grouping_sets(df: DataFrame, features: Sequence[Feature]) -> DataFram
     grouped = write_stage(
         df.groupingSets(sets, *[F.col(c) for c in columns])
         .agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias(ROWS)), "grouping_sets")
-    out = df
+    out, source_rows = df, df.count()
     for f, set_id in zip(features, ids):
         counts = grouped.filter((F.col("_set") == set_id) & _all_present(f.keys))
         counts = counts.select(*f.keys, F.col(ROWS).alias(f.name), F.col(ROWS).alias(GROUP_ROWS))
-        out = join_groups(out, counts, f.keys, [f.name])
+        out = join_groups(out, counts, f.keys, [f.name], source_rows=source_rows)
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 
@@ -293,14 +306,14 @@ def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = Fa
     The window form would put a whole region into one task; partial aggregation and a null-safe
     join give the same values. ``rounded`` partitions numeric keys by the nearest whole number.
     """
-    out = df
+    out, source_rows = df, df.count()
     for group in _finest_first(list(by_key_set(list(features)).values()), ("user_id",)):
         (key,) = group[0].keys
         part = whole_number(key) if rounded else F.col(key)
         stats = df.groupBy(part.alias("_part")).agg(
             *[F.stddev_samp(f.arg).alias(f.name) for f in group], _group_rows(cells=False))
         out = join_groups(out.withColumn("_part", part), stats, ["_part"], [f.name for f in group],
-                          null_safe=True, max_rows=max_rows).drop("_part")
+                          null_safe=True, max_rows=max_rows, source_rows=source_rows).drop("_part")
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -30,20 +30,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def item_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items as a stage table, written once per session: the feature queries scan it many times.
+def spread_small(df: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """Spread rows that come from fewer files than there are cores; most cores would stay idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if len(files.inputFiles()) < cores else df
+
 
-    An input of fewer files than cores is spread first, or most cores would stay idle.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
+def staged_once(name: str, sf_dir: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage table that many queries scan, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        base, cores = items(spark, sf_dir), spark.sparkContext.defaultParallelism
-        if len(read_table(spark, sf_dir, "lineitem").inputFiles()) < cores:
-            base = base.repartition(cores, "item_id")
-        _STAGED[key] = write_stage(base, "items")
+        _STAGED[key] = write_stage(build(), name)
     return _STAGED[key]
 
 
+def item_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items as a stage table: the feature queries scan it many times."""
+    return staged_once("items", sf_dir, spark, lambda: spread_small(
+        items(spark, sf_dir), read_table(spark, sf_dir, "lineitem"), "item_id"))
+
+
 def r6(column: str | Column, name: str | None = None) -> Column:
     """Round a float result, whose last digits depend on the order of addition."""
     c = F.col(column) if isinstance(column, str) else column

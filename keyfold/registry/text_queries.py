@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
 from keyfold.operators import vocabulary as V
-from keyfold.registry.base import query, r6
+from keyfold.registry.base import query, r6, spread_small, staged_once
 from keyfold.session import stage_root, write_stage
 from keyfold.sources.files import read_vectors, write_vectors
 from keyfold.sources.items import read_table
@@ -46,7 +46,10 @@ _SEQUENCES = (
 
 
 def cleaned(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", T.clean("text").alias("clean"))
+    """Documents with cleaned text, written once: vocabulary, sequences and rates all read it."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return staged_once("cleaned", sf_dir, spark, lambda: spread_small(documents, documents, "doc_id").select(
+        "doc_id", "lang", T.clean("text").alias("clean")))
 
 
 def vocabulary(spark, sf_dir):
