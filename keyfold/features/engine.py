@@ -79,37 +79,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values:
 
     Spark joins an aggregate on the partitioning it already has, and in that form does not split
     skewed partitions. So groups of more than ``max_rows`` rows are joined by broadcast: there are
-    at most ``source_rows / max_rows`` of them, and none to look for if the source is no larger.
+    at most ``source_rows / max_rows`` of them, and a source no larger than that is joined plainly.
     The rows they serve, and rows whose NULL key matches nothing, take a place in the other join's
     shuffle by a hash of the ``spread`` columns (default: the first, which should be the row's id)
     instead of their key's place.
     """
     limit = MAX_GROUP_ROWS if max_rows is None else max_rows
-    look_for_heavy = source_rows is None or source_rows > limit
+    if source_rows is not None and source_rows <= limit:
+        plain = groups.drop(GROUP_ROWS)
+        return null_safe_join(rows, plain, keys) if null_safe else rows.join(plain, list(keys), "left")
     equal = "<=>" if null_safe else "="
     # Stated as SQL text: each call on a long plan is analysed anew, so few calls matter here.
     heavy_of = ", ".join([f"`{c}` AS `_h_{c}`" for c in (*keys, *values)] + ["0 AS _h"])
     light_of = ", ".join([f"`{c}` AS `_l_{c}`" for c in (*keys, *values)] + ["CAST(0 AS BIGINT) AS _l"])
     heavy_match = " AND ".join(f"r.`{k}` {equal} h.`_h_{k}`" for k in keys)
     light_match = " AND ".join(f"r.`{k}` {equal} l.`_l_{k}`" for k in keys)
-    aside = " OR ".join((["h._h IS NOT NULL"] if look_for_heavy else [])
-                        + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
+    aside = " OR ".join(["h._h IS NOT NULL"] + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
     spread_by = ", ".join(f"`{c}`" for c in (spread or rows.columns[:1]))
-    place = f"CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END" if aside else (
-        "CAST(0 AS BIGINT)")
     kept = ", ".join(f"r.`{c}`" for c in rows.columns)
-    if look_for_heavy:
-        found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
-        placed = f"""SELECT /*+ BROADCAST(h) */ r.*, h.*, {place} AS _place FROM {{rows}} r
-            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}"""
-        light = f"SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}"
-    else:
-        found = ", ".join(f"l.`_l_{v}` AS `{v}`" for v in values)
-        placed = f"SELECT r.*, {place} AS _place FROM {{rows}} r"
-        light = f"SELECT {light_of} FROM {{groups}}"
-    return rows.sparkSession.sql(
-        f"SELECT {kept}, {found} FROM ({placed}) r LEFT JOIN ({light}) l ON {light_match} AND r._place = l._l",
-        rows=rows, groups=groups)
+    found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
+    return rows.sparkSession.sql(f"""
+        SELECT {kept}, {found} FROM (
+            SELECT /*+ BROADCAST(h) */ r.*, h.*,
+                CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END AS _place
+            FROM {{rows}} r
+            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}) r
+        LEFT JOIN (SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}) l
+            ON {light_match} AND r._place = l._l""", rows=rows, groups=groups)
 
 
 def _all_of(conditions: Iterable[Column]) -> Column:
