@@ -46,6 +46,11 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+def new_stage_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other stage has."""
+    return f"{stage_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def write_stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a parquet stage table and read it back.
 
@@ -53,6 +58,6 @@ def write_stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     checkpointed row set is columnar, so each later step reads just the columns it uses.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_stage_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
