@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyfold.llm import exact, mixing, packing, pii, redirects, tokens
+from keyfold.llm import exact, minhash, mixing, packing, phrases, pii, redirects, tokens, topk, toxicity
 from keyfold.session import new_stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1_SQL = """
+WITH e AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op1_voronoi_top_k", OP1_SQL)
+def voronoi_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_phrase_automata")
+def phrase_automata(spark, sf_dir):
+    return phrases.remove_recurring(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, html, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -97,6 +120,24 @@ def mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op7_tensored_minhash")
+def tensored_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.OrdinalModel:
+    """Fitted on the labelled ones among ``docs``."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.select("doc_id", toxicity.severity_grade(
+        F.col("toxic"), F.col("quality")).alias("grade")))
+
+
+@query("op8_ordinal_toxicity")
+def ordinal_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity_model(spark, docs, sf_dir))
+
+
 @query("op9_token_files")
 def token_files(spark, sf_dir):
     path = new_stage_path(spark, "tokens")
