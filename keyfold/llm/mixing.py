@@ -24,7 +24,7 @@ from keyfold.session import write_stage
 # how often a source may be used up.
 WEIGHTS, SHARE, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 # Documents in one range of the hash key.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 SEED = "mix-1"
 _KEY_BITS = 60
 
@@ -95,3 +95,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_offset")))
     return placed.select("doc_id", "size", "source_size", "target",
                          (epochs * F.col("size") + part).cast("bigint").alias("taken"))
+
+
+def _cut(text: Column, words: Column) -> Column:
+    """The first words of a text, joined by single spaces."""
+    split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(F.slice(split, 1, words.cast("int")), " ")
+
+
+def take(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: each document once per whole epoch, and the part of
+    a last epoch, which only the document at its source's budget takes of in part.
+
+    Documents are matched to their shares by id; of repeated rows with one id, one is taken for all.
+    """
+    shares = write_stage(mix(docs, **settings).groupBy("doc_id").agg(
+        F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter("_taken > 0"), "shares")
+    joined = docs.dropDuplicates(["doc_id"]).join(shares, "doc_id")
+    times = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_taken - 1) div _size"))).alias("_time")
+    spread = joined.select(*docs.columns, "_size", "_taken", times)
+    left = F.col("_taken") - F.col("_time") * F.col("_size")
+    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(_cut(F.col("text"), left))
+    return spread.withColumn("text", text).select(*docs.columns)

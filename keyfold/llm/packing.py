@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from keyfold.llm.tokenizing import Encoder, read_tokenizer
+from keyfold.llm.tokenizing import encoder_of, read_tokenizer
 
 WINDOW = 4096
 END_TOKEN = 2
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     end = end_token.to_bytes(4, "little")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
 
         def placed() -> pd.DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import regex
 
@@ -17,8 +18,9 @@ import regex
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-# Entries held of each cache; a full cache starts anew.
-CACHE_ENTRIES = 600_000
+# Entries of a cache generation. A full generation is kept until the next one is full, so words that
+# keep coming stay, and memory is bounded by two generations.
+CACHE_ENTRIES = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,14 +49,18 @@ class _Cache(dict):
 
     def __init__(self, encode, checked: bool):
         super().__init__()
-        self.encode, self.checked = encode, checked
+        self.encode, self.checked, self.older = encode, checked, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.checked and _ENDS_ODD.search(chunk):
-            raise _Unsafe  # the break after this chunk may lie inside a run of white space
+        found = self.older.get(chunk)
+        if found is None:
+            if not chunk.isalpha() and self.checked and _ENDS_ODD.search(chunk):
+                raise _Unsafe  # the break after this chunk may lie inside a run of white space
+            found = self.encode(chunk, self)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        found = self[chunk] = self.encode(" " + chunk)
+        self[chunk] = found
         return found
 
 
@@ -70,23 +76,29 @@ class Encoder:
         self.specials = [t["content"] for t in stated["added_tokens"]]
         self.lowers = stated.get("normalizer") is not None
         self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
-        self.quick, self.whole = _Cache(self._chunk, True), _Cache(self._chunk, False)
-        self.pieces: dict[str, bytes] = {}
+        self.quick, self.whole = _Cache(self._spaced, True), _Cache(self._spaced, False)
+        self.tails = {c: self._direct(c) for c in ".,;:!?)"}
 
     def _direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Merge one piece of the split text; the model sees bytes written as letters."""
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            letters = piece if self.lowers and piece.isascii() else \
-                piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self.pieces[piece] = found
-        return found
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece of the split text; the model sees bytes written as letters."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif not piece.isalpha():
+            piece = piece.translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _spaced(self, chunk: str, cache: _Cache) -> bytes:
+        """Ids of a chunk behind a space. Letters, and letters with one mark, need no splitting."""
+        if chunk.isalpha() and (chunk.isascii() or not self.lowers):
+            if self.lowers:
+                return self._merged(chunk.lower())
+            return self._merged(" " + chunk)
+        if chunk[-1:] in self.tails and chunk[:-1].isalpha():
+            return cache[chunk[:-1]] + self.tails[chunk[-1]]
+        return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if _CONTROL.search(chunk) or "<" in chunk and any(s in chunk for s in self.specials):
@@ -94,7 +106,7 @@ class Encoder:
         if self.lowers:
             chunk = chunk.lower() if chunk.isascii() else \
                 "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        return b"".join(map(self._piece, self.pattern.findall(chunk)))
+        return b"".join(map(self._merged, self.pattern.findall(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty."""
@@ -110,6 +122,12 @@ class Encoder:
             return self._chunk(head) + b"".join(map(self.whole.__getitem__, rest))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """One encoder per worker process, so that its cache outlives a task."""
+    return Encoder(tokenizer_json)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file as text. The driver reads it and tasks get the text, so that executors
     need no such path."""

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyfold.llm.tokenizing import Encoder, read_tokenizer
+from keyfold.llm.tokenizing import encoder_of, read_tokenizer
 
 END_TOKEN = 2
 STRIPE_BYTES = 16 << 20
@@ -39,7 +39,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_token: int = END_TOK
     end = end_token.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 chunks = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]

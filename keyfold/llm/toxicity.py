@@ -1,12 +1,13 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
 With grades 0..K-1, ``P(grade >= j) = sigmoid(w.x - t_j)`` for j = 1..K-1: the weights are shared by
-all thresholds, which ascend. ``x`` marks which words of the vocabulary a text holds, so a text's
-length does not matter by itself. The expected severity is the sum of these probabilities.
+all thresholds, which ascend. ``x`` marks which features of the vocabulary a text holds: words, and
+beginnings of words, since a stem takes many endings. A text's length does not matter by itself.
+The expected severity is the sum of these probabilities.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled documents, taken by a hash of their id; the
-vocabulary holds the ``FEATURES`` words that most of these documents have. Scoring reads every whole
-text.
+vocabulary holds the ``FEATURES`` features whose presence goes with the grade most surely, by the score
+of a test on the mean grade. Scoring reads every whole text.
 
 Cases: a null text has no words; labels that are null count as no label, and of repeated labels the
 highest grade counts; without labelled documents, or with one grade only, every document gets the
@@ -24,18 +25,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 12_000, 20_000, 3
-PENALTY, STEPS, RATE = 1e-3, 200, 0.1
+SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 12_000, 1_000, 3
+PENALTY, STEPS, RATE = 3e-4, 300, 0.1
 # Expected severity from which a document counts as toxic.
 REJECT = 0.5
 
+# Lengths of the word beginnings that are features, and entries of a worker's cache of words.
+BEGINNINGS = (4, 5, 6)
+CACHE_ENTRIES = 300_000
+
 # ASCII characters other than letters separate words.
 _BREAKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def words_in(text: str | None) -> set[bytes]:
+def words_in(text: str | None) -> set[str]:
     """Distinct lower-case words of a whole text."""
-    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAKS).split())
+    spaced = (text or "").lower().encode("utf-8", "replace").translate(_BREAKS)
+    return set(spaced.decode("utf-8").split())
+
+
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
+def features_in(text: str | None) -> set[str]:
+    return {f for w in words_in(text) for f in features_of(w)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,7 +58,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    vocabulary: dict[bytes, int]
+    vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
     lowest: int = 0
@@ -54,8 +68,24 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
     def scores(self, texts) -> np.ndarray:
-        known, weights = self.vocabulary, self.weights
-        return np.array([weights[[known[w] for w in words_in(t) & known.keys()]].sum() for t in texts])
+        """``w.x`` of each text."""
+        known = _Known(self.vocabulary)
+        return np.array([self.weights[list({i for found in map(known.__getitem__, words_in(t)) for i in found})].sum()
+                         for t in texts])
+
+
+class _Known(dict):
+    """Feature numbers of a word; most words have none."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        found = self[word] = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
+        return found
 
 
 def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, width: int, penalty: float = PENALTY,
@@ -84,7 +114,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, width: int, pena
         np.add.at(by_cut, grades + 1, -slope_high / n)
         by_cut = by_cut[1:top + 1]
         tail = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(flat, by_score[row], width) + penalty * theta[:width] / max(n, 1) * 10,
+        gradient = np.concatenate([np.bincount(flat, by_score[row], width) + penalty * theta[:width],
                                    tail[:1], tail[1:] * np.exp(theta[width + 1:])])
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient ** 2
@@ -109,24 +139,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            words = [w.decode("utf-8", "replace") for t in f["text"] for w in words_in(t)]
-            yield pd.DataFrame({"word": words})
-
-    counted = chosen.select("text").mapInPandas(spell, "word string").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
-    words = [r["word"].encode() for r in counted.orderBy(F.desc("n"), "word").limit(features).collect()]
+            found = [(w, g) for t, g in zip(f["text"], f["grade"], strict=True) for w in features_in(t)]
+            yield pd.DataFrame(found, columns=["word", "grade"])
+
+    rated = sample.agg(F.avg("grade").alias("mean"), F.stddev_pop("grade").alias("spread")).first()
+    if not rated["spread"]:
+        return OrdinalModel({}, np.zeros(0), np.zeros(0), int(rated["mean"] or 0))
+    surely = F.abs(F.col("sum") - F.col("n") * rated["mean"]) / (F.sqrt("n") * rated["spread"])
+    counted = chosen.select("text", "grade").mapInPandas(spell, "word string, grade int").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("grade").alias("sum")).filter(F.col("n") >= MIN_DOCUMENTS)
+    words = [r["word"] for r in counted.orderBy(surely.desc(), "word").limit(features).collect()]
     vocabulary = {w: i for i, w in enumerate(words)}
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [sorted(vocabulary[w] for w in words_in(t) & vocabulary.keys()) for t in f["text"]]
+            found = [sorted(vocabulary[w] for w in features_in(t) & vocabulary.keys()) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "grade": f["grade"], "words": found})
 
     rows = chosen.mapInPandas(number, "doc_id long, grade int, words array<int>").toPandas().sort_values(
         "doc_id", kind="stable")
-    seen = np.unique(rows["grade"].to_numpy(np.int64)) if len(rows) else np.zeros(1, np.int64)
-    if len(seen) < 2:
-        return OrdinalModel({}, np.zeros(0), np.zeros(0), int(seen[0]))
+    seen = np.unique(rows["grade"].to_numpy(np.int64))
+    if len(seen) < 2:  # the labels that vary belong to documents that are not here
+        return OrdinalModel({}, np.zeros(0), np.zeros(0), int(seen[0]) if len(seen) else 0)
     # Grades without an example have no threshold of their own.
     grades = np.searchsorted(seen, rows["grade"].to_numpy(np.int64))
     weights, cuts = fit_ordinal([np.asarray(w, np.int64) for w in rows["words"]], grades, len(words))
