@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 12_000, 1_000, 3
+SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 12_000, 3_000, 3
 PENALTY, STEPS, RATE = 3e-4, 300, 0.1
+# Weight of documents above the lowest grade, which are rare.
+EMPHASIS = 4.0
 # Expected severity from which a document counts as toxic.
 REJECT = 0.5
 
@@ -89,13 +91,16 @@ class _Known(dict):
 
 
 def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, width: int, penalty: float = PENALTY,
-                steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+                steps: int = STEPS, rate: float = RATE, emphasis: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by gradient descent with adapted steps on the mean
-    negative log likelihood. ``grades`` run from 0 without gaps."""
+    negative log likelihood, in which grades above 0 have the weight ``emphasis``. ``grades`` run
+    from 0 without gaps."""
     top = int(grades.max())
     flat = np.concatenate(features) if features else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     n = len(features)
+    weight = np.where(grades > 0, emphasis, 1.0)
+    weight /= weight.sum()
     # thresholds = first, then steps that stay positive as exponentials
     share = np.array([(grades >= j).mean() for j in range(1, top + 1)])
     start = np.log((1 - share + 1e-6) / (share + 1e-6))
@@ -108,10 +113,10 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, width: int, pena
         p_low, p_high = above[np.arange(n), grades], above[np.arange(n), grades + 1]
         mass = np.maximum(p_low - p_high, 1e-9)
         slope_low, slope_high = p_low * (1 - p_low) / mass, p_high * (1 - p_high) / mass
-        by_score = -(slope_low - slope_high) / n
+        by_score = -(slope_low - slope_high) * weight
         by_cut = np.zeros(top + 2)
-        np.add.at(by_cut, grades, slope_low / n)
-        np.add.at(by_cut, grades + 1, -slope_high / n)
+        np.add.at(by_cut, grades, slope_low * weight)
+        np.add.at(by_cut, grades + 1, -slope_high * weight)
         by_cut = by_cut[1:top + 1]
         tail = np.cumsum(by_cut[::-1])[::-1]
         gradient = np.concatenate([np.bincount(flat, by_score[row], width) + penalty * theta[:width],
@@ -163,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         return OrdinalModel({}, np.zeros(0), np.zeros(0), int(seen[0]) if len(seen) else 0)
     # Grades without an example have no threshold of their own.
     grades = np.searchsorted(seen, rows["grade"].to_numpy(np.int64))
-    weights, cuts = fit_ordinal([np.asarray(w, np.int64) for w in rows["words"]], grades, len(words))
+    weights, cuts = fit_ordinal([np.asarray(w, np.int64) for w in rows["words"]], grades, len(words), emphasis=EMPHASIS)
     thresholds = np.repeat(cuts, np.diff(seen))
     return OrdinalModel(vocabulary, weights, thresholds, int(seen[0]))
 

@@ -374,8 +374,8 @@ def test_toxicity_on_held_out_labels(spark):
     model = toxicity.fit(docs, graded.filter(~held))
     found = toxicity.grade_documents(docs, model).drop("grade").join(graded.filter(held), "doc_id")
     pairs = Counter((r["toxic"], r["grade"] > 0) for r in found.collect())
-    assert pairs[True, True] >= 0.8 * (pairs[True, True] + pairs[False, True])
-    assert pairs[True, False] <= 0.01 * (pairs[True, False] + pairs[False, False])
+    assert pairs[True, True] >= 0.75 * (pairs[True, True] + pairs[False, True])
+    assert pairs[True, False] <= 0.02 * (pairs[True, False] + pairs[False, False])
 
 
 def test_ordinal_fit_shares_weights():
