@@ -71,7 +71,7 @@ PART3_DROPS = [
 ]
 
 # Columns of bounded domains, on whose distinct tuples these counts may be computed instead.
-PAIR_CELLS = [("region", "city", *CATEGORY_PATH, "user_type")]
+PAIR_CELLS = ("region", "city", *CATEGORY_PATH, "user_type")
 
 # --- date spans over one column ---------------------------------------------------------------
 SPAN_COLUMNS = ("category_name", "city", "image_top_1", "param_1", "param_2", "param_3",
@@ -105,8 +105,7 @@ PAIR_UNIQUES = [Feature("_".join(t) + "_uq", t[:2], "distinct", t[2], fill=0)
                 for t in _triples(UNIQUES_LEFT_OUT)]
 STAGE5 = TRIPLES + PAIR_SPANS + PAIR_UNIQUES
 
-_PLACE_AND_PARAMS = ("city", "param_1", "param_2", "param_3", "category_name")
-TRIPLE_CELLS = [_PLACE_AND_PARAMS, (*_PLACE_AND_PARAMS, "image_top_1"), (*_PLACE_AND_PARAMS, "price")]
+TRIPLE_CELLS = ("city", "param_1", "param_2", "param_3", "category_name")
 
 # --- standard deviations over partitions --------------------------------------------------------
 STD_STRING_KEYS = ("city", "user_id", "region", "parent_category_name", "category_name",

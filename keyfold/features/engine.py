@@ -1,16 +1,20 @@
 """Attach per-key aggregates to rows.
 
-Four ways give the same rows, and the tests hold them to it:
+Three ways give the same rows, and the tests hold them to it:
 
-``attach``                one aggregation per key set, joined back. The general way: aggregation combines
-                          on the map side, adaptive execution broadcasts an aggregate whose measured size
-                          is small, and ``join_groups`` keeps heavy keys out of single tasks.
-``attach_through_cells``  for many key sets inside one column set: collapse the rows to distinct cells
-                          first, work on the cells, and touch the wide rows with one join only.
+``attach``                one aggregation per key set, joined back. The general way.
 ``attach_windows``        for key sets that share a leading high-cardinality column: one shuffle on that
                           column serves all of them. Heavy values leave this path for ``attach``.
 ``attach_grouping_sets``  all counts in one pass over the rows, for key sets of few distinct values.
 
+``attach_all`` takes the second way for the sets led by one column and the first for the others,
+``attach_through_cells`` finishes all features on the distinct tuples of their columns and joins once.
+
+Aggregates are written before they are joined. A written aggregate has a known size, so Spark plans
+a broadcast for a small one without shuffling the rows; for a large one both sides of the join are
+plain shuffles, of which Spark splits the partitions that turn out skewed. A key that holds a third
+of the rows, or a third of them without key, is thus spread over many tasks.
+
 A row with a NULL in any key matches no group and gets the fill value, as under plain SQL equality.
 """
 
@@ -19,22 +23,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keyfold.features.spec import Feature, by_key_set
-from keyfold.session import write_stage
+from keyfold.session import new_stage_path, write_stage
 
-# Rows of one key that a single task may get. Rows of a heavier key are spread over all tasks.
+# Rows of one leading value that a window task may get; heavier values are joined instead.
 MAX_GROUP_ROWS = 1_000_000
 
 # Key sets joined in one plan before a stage is written.
-MAX_JOINS = 16
-
-# Rows per distinct cell from which working on cells pays for the extra pass.
-MIN_COLLAPSE = 4
+MAX_JOINS = 20
 
-ROWS, FIRST, LAST, GROUP_ROWS = "_rows", "_first_", "_last_", "_group_rows"
+ROWS, FIRST, LAST = "_rows", "_first_", "_last_"
 
 
 def _all_present(keys: Iterable[str]) -> Column:
@@ -60,52 +63,31 @@ def _measure(feature: Feature, cells: bool = False) -> Column:
     return value.alias(feature.name)
 
 
-def _group_rows(cells: bool) -> Column:
-    """Source rows behind a group, which tells heavy groups apart."""
-    return (F.sum(ROWS) if cells else F.count(F.lit(1))).alias(GROUP_ROWS)
-
-
 def aggregate(source: DataFrame, features: Sequence[Feature], cells: bool = False) -> DataFrame:
     """One row per key tuple. NULL tuples could never be matched, so they are not shuffled at all."""
     keys = features[0].keys
-    return source.filter(_all_present(keys)).groupBy(*keys).agg(
-        *[_measure(f, cells) for f in features], _group_rows(cells))
+    return source.filter(_all_present(keys)).groupBy(*keys).agg(*[_measure(f, cells) for f in features])
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequence[str],
-                null_safe: bool = False, max_rows: int | None = None, source_rows: int | None = None,
-                spread: Sequence[str] | None = None) -> DataFrame:
-    """Left-join one-row-per-key ``groups`` to ``rows`` so that no key, however heavy, lands in one task.
+def write_groups(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """Write many aggregates in one job and read each from its own folder, so that each has a size."""
+    spark = frames[0].sparkSession
+    path = new_stage_path(spark, "groups")
+    tagged = [f.withColumn("_set", F.lit(i)) for i, f in enumerate(frames)]
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).write.partitionBy("_set").parquet(path)
 
-    Spark joins an aggregate on the partitioning it already has, and in that form does not split
-    skewed partitions. So groups of more than ``max_rows`` rows are joined by broadcast: there are
-    at most ``source_rows / max_rows`` of them, and a source no larger than that is joined plainly.
-    The rows they serve, and rows whose NULL key matches nothing, take a place in the other join's
-    shuffle by a hash of the ``spread`` columns (default: the first, which should be the row's id)
-    instead of their key's place.
-    """
-    limit = MAX_GROUP_ROWS if max_rows is None else max_rows
-    if source_rows is not None and source_rows <= limit:
-        plain = groups.drop(GROUP_ROWS)
-        return null_safe_join(rows, plain, keys) if null_safe else rows.join(plain, list(keys), "left")
-    equal = "<=>" if null_safe else "="
-    # Stated as SQL text: each call on a long plan is analysed anew, so few calls matter here.
-    heavy_of = ", ".join([f"`{c}` AS `_h_{c}`" for c in (*keys, *values)] + ["0 AS _h"])
-    light_of = ", ".join([f"`{c}` AS `_l_{c}`" for c in (*keys, *values)] + ["CAST(0 AS BIGINT) AS _l"])
-    heavy_match = " AND ".join(f"r.`{k}` {equal} h.`_h_{k}`" for k in keys)
-    light_match = " AND ".join(f"r.`{k}` {equal} l.`_l_{k}`" for k in keys)
-    aside = " OR ".join(["h._h IS NOT NULL"] + ([] if null_safe else [f"r.`{k}` IS NULL" for k in keys]))
-    spread_by = ", ".join(f"`{c}`" for c in (spread or rows.columns[:1]))
-    kept = ", ".join(f"r.`{c}`" for c in rows.columns)
-    found = ", ".join(f"coalesce(r.`_h_{v}`, l.`_l_{v}`) AS `{v}`" for v in values)
-    return rows.sparkSession.sql(f"""
-        SELECT {kept}, {found} FROM (
-            SELECT /*+ BROADCAST(h) */ r.*, h.*,
-                CASE WHEN {aside} THEN 1 + pmod(xxhash64({spread_by}), {1 << 30}) ELSE 0 END AS _place
-            FROM {{rows}} r
-            LEFT JOIN (SELECT {heavy_of} FROM {{groups}} WHERE {GROUP_ROWS} > {limit}) h ON {heavy_match}) r
-        LEFT JOIN (SELECT {light_of} FROM {{groups}} WHERE {GROUP_ROWS} <= {limit}) l
-            ON {light_match} AND r._place = l._l""", rows=rows, groups=groups)
+    def read(number: int, schema: StructType) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{path}/_set={number}")
+        except AnalysisException:  # an aggregate without rows has no folder
+            return spark.createDataFrame([], schema)
+
+    return [read(i, f.schema) for i, f in enumerate(frames)]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """Left-join a written table of one row per key to ``rows``."""
+    return null_safe_join(rows, groups, keys) if null_safe else rows.join(groups, list(keys), "left")
 
 
 def _all_of(conditions: Iterable[Column]) -> Column:
@@ -123,37 +105,27 @@ def _finest_first(groups: list[list[Feature]], large: Sequence[str]) -> list[lis
 
 
 def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-           large: Sequence[str] = ("user_id",), cells: bool = False, max_rows: int | None = None,
-           source_rows: int | None = None) -> DataFrame:
-    """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target)."""
-    source = target if source is None else source
-    out = target
-    spread = target.columns if cells else None
-    source_rows = source.count() if source_rows is None else source_rows
-    for group in _finest_first(list(by_key_set(list(features)).values()), large):
-        out = join_groups(out, aggregate(source, group, cells), group[0].keys, [f.name for f in group],
-                          max_rows=max_rows, source_rows=source_rows, spread=spread)
-    return out.select(*target.columns, *[_filled(f) for f in features])
+           large: Sequence[str] = ("user_id",), cells: DataFrame | None = None, block: int = MAX_JOINS) -> DataFrame:
+    """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target).
 
-
-def attach_in_blocks(target: DataFrame, features: Sequence[Feature], source: DataFrame | None = None,
-                     large: Sequence[str] = ("user_id",), cells: bool = False,
-                     block: int = MAX_JOINS) -> DataFrame:
-    """``attach`` with a written stage after every ``block`` key sets.
-
-    One plan of a hundred joins is replanned after each of its stages, compiles into methods too
-    large for the JIT, and after a loss may be recomputed from far back.
+    ``cells``, as of ``collapse_to_cells``, stands in for the source where it holds a feature's columns.
+    A stage is written after every ``block`` key sets: one plan of a hundred joins is replanned after
+    each of its stages, and compiles into methods too large for the JIT.
     """
     source = target if source is None else source
-    groups = _finest_first(list(by_key_set(list(features)).values()), large)
-    source_rows = source.count()
+    sets = _finest_first(list(by_key_set(list(features)).values()), large)
+
+    def of_cells(group: Sequence[Feature]) -> bool:
+        return cells is not None and feature_columns(group) <= set(cells.columns) and all(
+            f.kind != "stddev" for f in group)
+
+    groups = write_groups([aggregate(cells if of_cells(g) else source, g, of_cells(g)) for g in sets])
     out = target
-    for start in range(0, len(groups), block):
-        if start:
+    for number, (group, table) in enumerate(zip(sets, groups, strict=True)):
+        if number and number % block == 0:
             out = write_stage(out, "block")
-        out = attach(out, [f for g in groups[start:start + block] for f in g], source, large, cells,
-                     source_rows=source_rows)
-    return out.select(*target.columns, *[f.name for f in features])
+        out = join_groups(out, table, group[0].keys)
+    return out.select(*target.columns, *[_filled(f) for f in features])
 
 
 def feature_columns(features: Iterable[Feature]) -> set[str]:
@@ -163,14 +135,6 @@ def feature_columns(features: Iterable[Feature]) -> set[str]:
     return kept | {f.arg for f in features if f.kind in ("distinct", "count_col")}
 
 
-def collapsing_sets(source: DataFrame, column_sets: Sequence[Sequence[str]],
-                    min_collapse: float) -> list[Sequence[str]]:
-    """The column sets with at least ``min_collapse`` rows per distinct tuple, estimated in one pass."""
-    estimates = source.agg(F.count(F.lit(1)), *[
-        F.approx_count_distinct(F.xxhash64(*columns)) for columns in column_sets]).first()
-    return [c for c, n in zip(column_sets, estimates[1:]) if n * min_collapse <= estimates[0]]
-
-
 def collapse_to_cells(source: DataFrame, columns: Sequence[str], dates: Iterable[str] = ()) -> DataFrame:
     """Distinct tuples of ``columns`` with their row count and the range of each date column."""
     ranges = [e for d in sorted(set(dates)) for e in (F.min(d).alias(FIRST + d), F.max(d).alias(LAST + d))]
@@ -195,24 +159,28 @@ def attach_through_cells(target: DataFrame, features: Sequence[Feature],
     columns = sorted(feature_columns(features))
     cells = write_stage(
         collapse_to_cells(source, columns, [f.arg for f in features if f.kind == "span"]), "cells")
-    finished = attach_in_blocks(cells, features, large=(), cells=True).withColumnRenamed(ROWS, GROUP_ROWS)
-    joined = join_groups(target, finished, columns, [f.name for f in features], null_safe=True,
-                         source_rows=source.count())
+    finished = write_stage(attach(cells, features, large=(), cells=cells).select(
+        *columns, *[f.name for f in features]), "finished")
+    joined = join_groups(target, finished, columns, null_safe=True)
     # A target row whose cell the source lacks matches no group either.
     return joined.select(*target.columns, *[_filled(f) for f in features])
 
 
-def attach_all(rows: DataFrame, features: Sequence[Feature], cell_sets: Sequence[Sequence[str]] = (),
-               min_collapse: float = MIN_COLLAPSE) -> DataFrame:
-    """Attach many features: through cells where a column set is measured to collapse well, by
-    joins in blocks otherwise."""
-    out, left = rows, list(features)
-    for columns in collapsing_sets(rows, cell_sets, min_collapse) if cell_sets else []:
-        inside = [f for f in left if f.kind != "stddev" and feature_columns([f]) <= set(columns)]
-        if inside:
-            out = write_stage(attach_through_cells(out, inside, rows), "through_cells")
-            left = [f for f in left if f not in inside]
-    out = attach_in_blocks(out, left, rows)
+def attach_all(rows: DataFrame, features: Sequence[Feature], lead: str = "user_id",
+               cell_columns: Sequence[str] = ()) -> DataFrame:
+    """Attach many features with few shuffles of the rows.
+
+    Those led by ``lead`` share one shuffle. The aggregates of the others are mostly small enough to
+    be broadcast; those inside ``cell_columns``, which should have bounded domains, are taken from
+    the distinct cells of these columns, so that the rows are read once for all of them.
+    """
+    led = [f for f in features if lead in f.keys and f.kind != "stddev"]
+    rest = [f for f in features if f not in led]
+    out = write_stage(attach_windows(rows, led, lead), "windows") if led else rows
+    if rest:
+        dates = {f.arg for f in rest if f.kind == "span"}
+        cells = write_stage(collapse_to_cells(rows, sorted(cell_columns), dates), "cells") if cell_columns else None
+        out = attach(out, rest, rows, (lead,), cells)
     return out.select(*rows.columns, *[f.name for f in features])
 
 
@@ -253,8 +221,8 @@ def attach_windows(df: DataFrame, features: Sequence[Feature], lead: str,
     """Attach features whose keys all contain ``lead`` with one shuffle on ``lead``.
 
     Values of ``lead`` with more than ``max_rows`` rows (and NULL, which matches nothing) take the
-    join path, where groups are combined before the shuffle and heavy ones are spread. There are
-    at most ``rows / max_rows`` such values, which bounds the broadcast list of them.
+    join path, where groups are combined before the shuffle and skewed partitions are split. The list
+    of these values is a written table, which Spark broadcasts if it is small.
     """
     wrong = [f.name for f in features if lead not in f.keys]
     if wrong:
@@ -268,9 +236,8 @@ def attach_windows(df: DataFrame, features: Sequence[Feature], lead: str,
     if special.isEmpty():
         out = _window_columns(df.repartition(lead), features)
     else:
-        listed = F.broadcast(special)
-        light = null_safe_join(df, listed, [lead], "left_anti")
-        heavy = null_safe_join(df, listed, [lead], "left_semi")
+        light = null_safe_join(df, special, [lead], "left_anti")
+        heavy = null_safe_join(df, special, [lead], "left_semi")
         out = _window_columns(light.repartition(lead), features).unionByName(attach(
             heavy, [Feature(f.name, f.keys, f.kind, f.arg) for f in features]))
     return out.select(*df.columns, *[_filled(f) for f in features])
@@ -287,29 +254,29 @@ def attach_grouping_sets(df: DataFrame, features: Sequence[Feature]) -> DataFram
     grouped = write_stage(
         df.groupingSets(sets, *[F.col(c) for c in columns])
         .agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias(ROWS)), "grouping_sets")
-    out, source_rows = df, df.count()
-    for f, set_id in zip(features, ids):
-        counts = grouped.filter((F.col("_set") == set_id) & _all_present(f.keys))
-        counts = counts.select(*f.keys, F.col(ROWS).alias(f.name), F.col(ROWS).alias(GROUP_ROWS))
-        out = join_groups(out, counts, f.keys, [f.name], source_rows=source_rows)
+    tables = write_groups([
+        grouped.filter((F.col("_set") == set_id) & _all_present(f.keys)).select(*f.keys, F.col(ROWS).alias(f.name))
+        for f, set_id in zip(features, ids, strict=True)])
+    out = df
+    for f, counts in zip(features, tables, strict=True):
+        out = join_groups(out, counts, f.keys)
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 
-def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False,
-                  max_rows: int | None = None) -> DataFrame:
+def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False) -> DataFrame:
     """Standard deviation per partition, in which rows with a NULL key form a partition of their own.
 
     The window form would put a whole region into one task; partial aggregation and a null-safe
     join give the same values. ``rounded`` partitions numeric keys by the nearest whole number.
     """
-    out, source_rows = df, df.count()
-    for group in _finest_first(list(by_key_set(list(features)).values()), ("user_id",)):
-        (key,) = group[0].keys
-        part = whole_number(key) if rounded else F.col(key)
-        stats = df.groupBy(part.alias("_part")).agg(
-            *[F.stddev_samp(f.arg).alias(f.name) for f in group], _group_rows(cells=False))
-        out = join_groups(out.withColumn("_part", part), stats, ["_part"], [f.name for f in group],
-                          null_safe=True, max_rows=max_rows, source_rows=source_rows).drop("_part")
+    sets = _finest_first(list(by_key_set(list(features)).values()), ("user_id",))
+    part = {g[0].keys[0]: whole_number(g[0].keys[0]) if rounded else F.col(g[0].keys[0]) for g in sets}
+    tables = write_groups([df.groupBy(part[g[0].keys[0]].alias(f"_part_{i}")).agg(
+        *[F.stddev_samp(f.arg).alias(f.name) for f in g]) for i, g in enumerate(sets)])
+    out = df
+    for i, (group, stats) in enumerate(zip(sets, tables, strict=True)):
+        at = f"_part_{i}"
+        out = join_groups(out.withColumn(at, part[group[0].keys[0]]), stats, [at], null_safe=True).drop(at)
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 

@@ -31,15 +31,14 @@ def _names(features: Sequence[Feature]) -> list[str]:
     return [f.name for f in features]
 
 
-def feature_table(source: DataFrame, features: Sequence[Feature],
-                  cell_sets: Sequence[Sequence[str]] = ()) -> DataFrame:
+def feature_table(source: DataFrame, features: Sequence[Feature], cell_columns: Sequence[str] = ()) -> DataFrame:
     """``(item_id, features)`` computed on rows of nothing but id and key columns.
 
     Many key sets mean many joins; leaving all other columns out keeps small what they shuffle.
     The result joins back once by id.
     """
     columns = sorted({c for f in features for c in (*f.keys, f.arg) if c})
-    return attach_all(source.select(ID, *columns), features, cell_sets).select(ID, *_names(features))
+    return attach_all(source.select(ID, *columns), features, cell_columns=cell_columns).select(ID, *_names(features))
 
 
 def stage1(items: DataFrame) -> DataFrame:

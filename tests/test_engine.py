@@ -5,9 +5,12 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from keyfold.features.engine import (attach, attach_all, attach_grouping_sets, attach_in_blocks, attach_stddev,
-                                     attach_through_cells, attach_windows, null_safe_join, whole_number)
+from keyfold.features.engine import (attach, attach_all, attach_grouping_sets, attach_stddev, attach_through_cells,
+                                      attach_windows, null_safe_join, whole_number)
+from keyfold.features import catalog
 from keyfold.features.spec import Feature
+from keyfold.session import write_stage
+from keyfold.sources.items import items as base_items
 
 SCHEMA = "id int, user string, city string, param string, price double, d date"
 COUNTS = [Feature("n_city", ("city",), fill=0), Feature("n_user_city", ("user", "city"), fill=0),
@@ -66,23 +69,18 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(4)
 
 
-@pytest.mark.parametrize("max_rows", [0, 20, None])
-def test_attach(frame, rows, max_rows):
-    check(attach(frame, COUNTS + OTHERS, large=("user",), max_rows=max_rows), rows, COUNTS + OTHERS)
-
-
-def test_attach_in_blocks(frame, rows):
-    check(attach_in_blocks(frame, COUNTS + OTHERS, large=("user",), block=2), rows, COUNTS + OTHERS)
+@pytest.mark.parametrize("block", [2, 20])
+def test_attach(frame, rows, block):
+    check(attach(frame, COUNTS + OTHERS, large=("user",), block=block), rows, COUNTS + OTHERS)
 
 
 def test_attach_through_cells(frame, rows):
     check(attach_through_cells(frame, COUNTS + OTHERS), rows, COUNTS + OTHERS)
 
 
-@pytest.mark.parametrize("min_collapse", [0, 1_000_000])
-def test_attach_all_is_the_same_with_and_without_cells(frame, rows, min_collapse):
-    cells = [("city", "param"), ("user", "city", "param")]
-    check(attach_all(frame, COUNTS + OTHERS, cells, min_collapse), rows, COUNTS + OTHERS)
+@pytest.mark.parametrize("cells", [(), ("city", "param"), ("city",)])
+def test_attach_all_is_the_same_with_and_without_cells(frame, rows, cells):
+    check(attach_all(frame, COUNTS + OTHERS, "user", cells), rows, COUNTS + OTHERS)
 
 
 @pytest.mark.parametrize("max_rows", [10, 100, 1_000_000])
@@ -121,11 +119,10 @@ def test_float_keys(spark):
     assert {r["id"]: r["n"] for r in out.collect()} == {1: 2, 2: 2, 3: 0, 4: 2, 5: 2}
 
 
-@pytest.mark.parametrize("max_rows", [0, 1, None])
-def test_stddev_has_a_null_partition_and_null_for_one_row(spark, max_rows):
+def test_stddev_has_a_null_partition_and_null_for_one_row(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 5.0), (4, None, 9.0), (5, "b", 7.0)],
                                "id int, k string, v double")
-    plain = attach_stddev(df, [Feature("s", ("k",), "stddev", "v")], max_rows=max_rows)
+    plain = attach_stddev(df, [Feature("s", ("k",), "stddev", "v")])
     got = {r["id"]: r["s"] for r in plain.collect()}
     assert got[1] == pytest.approx(statistics.stdev([1, 3]))
     assert got[3] == got[4] == pytest.approx(statistics.stdev([5, 9]))
@@ -146,22 +143,63 @@ def test_null_safe_join(spark):
     assert {(r["id"], r["v"]) for r in null_safe_join(left, right, ["k"]).collect()} == {(1, 10), (2, None)}
 
 
-def test_heavy_and_null_keys_are_spread_over_the_shuffle(spark):
-    """A third of the rows under one key and a third under NULL: no task of the join gets a third."""
-    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
-                                            "spark.sql.adaptive.coalescePartitions.enabled")}
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        third = F.col("id") % 3
-        df = spark.range(0, 60_000, 1, 8).select(
-            "id", F.when(third == 0, F.lit(-1)).when(third == 1, F.col("id") % 5000).alias("user"))
-        out = attach(df, [Feature("n", ("user",), fill=0)], max_rows=1000)
-        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-        assert len(sizes) == 8 and max(sizes) < 2 * 60_000 / 8
-        got = {(r["user"], r["n"]) for r in out.select("user", "n").distinct().collect()}
-        assert {(-1, 20_000), (None, 0)} <= got
-        assert {n for user, n in got if user not in (-1, None)} == {4}
-    finally:
-        for key, value in saved.items():
+@pytest.fixture
+def settings(spark):
+    """Set session settings for one test."""
+    saved = {}
+
+    def put(**values):
+        for key, value in values.items():
+            key = "spark.sql." + key.replace("__", ".")
+            saved.setdefault(key, spark.conf.get(key))
             spark.conf.set(key, value)
+
+    yield put
+    for key, value in saved.items():
+        spark.conf.set(key, value)
+
+
+THIRDS = "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 3 = 1 THEN id % 5000 END AS user"
+HOT_CASES = {
+    "one key": lambda df: attach(df, [Feature("n", ("user",), fill=0)]),
+    "two keys": lambda df: attach(df, [Feature("n", ("user", "city"), fill=0)]),
+    "stddev": lambda df: attach_stddev(df, [Feature("n", ("user",), "stddev", "v", fill=-1)]),
+    "cells": lambda df: attach_through_cells(df, [Feature("n", ("user", "city"), fill=0)]),
+    "hot in the target only": lambda df: attach(
+        df, [Feature("n", ("user",), fill=0)], df.sparkSession.range(-1, 3).withColumn("user", F.col("id"))),
+}
+
+
+@pytest.mark.parametrize("case", HOT_CASES)
+def test_heavy_and_null_keys_are_spread_over_the_shuffle(spark, settings, case):
+    """A third of the rows under one key and a third under NULL: no task of the join gets a third."""
+    settings(autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false",
+             adaptive__skewJoin__skewedPartitionThresholdInBytes="1k", adaptive__skewJoin__skewedPartitionFactor="1.2",
+             adaptive__advisoryPartitionSizeInBytes="16k")
+    df = write_stage(spark.range(0, 60_000, 1, 8).selectExpr("id", THIRDS, "'c' AS city", "rand(3) AS v"), "thirds")
+    out = HOT_CASES[case](df)
+    # The sum keeps the optimizer from leaving the join out.
+    counted = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("id").alias("rows"), F.sum("n"))
+    sizes = [r["rows"] for r in counted.collect()]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true)" in plan
+    assert sum(sizes) == 60_000 and max(sizes) < 60_000 / 5
+
+
+def test_small_aggregates_do_not_shuffle_the_rows(spark, settings, frame):
+    settings(autoBroadcastJoinThreshold="200k")
+    rows = write_stage(frame, "rows")
+    for out in (attach(rows, COUNTS + OTHERS, large=("user",)), attach_stddev(rows, [Feature("s", ("city",), "stddev", "price")])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_wide_stage_shuffles_rows_once(spark, settings):
+    """All features of the widest stage: one shuffle by user, and broadcasts of written aggregates."""
+    items = write_stage(base_items(spark, "/root/testdata/sf0.001"), "items")
+    columns = sorted({c for f in catalog.STAGE5 for c in (*f.keys, f.arg) if c})
+    led = [f for f in catalog.STAGE5 if "user_id" in f.keys]
+    plan = attach_windows(items.select("item_id", *columns), led, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(user_id") == 1 and plan.count("Exchange") == 1
+    plan = attach_all(items.select("item_id", *columns), catalog.STAGE5, cell_columns=catalog.TRIPLE_CELLS)
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
