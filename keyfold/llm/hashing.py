@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -19,8 +20,10 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
-# Bytes hashed at once; a longer text is hashed alone.
-BATCH_BYTES = 1 << 22
+# Bytes hashed at once; a longer text is hashed alone. Hashing takes about forty times as much.
+BATCH_BYTES = 1 << 20
+# Rows of an Arrow batch whose texts are Python strings at once.
+SLICE_ROWS = 512
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -115,3 +118,9 @@ def batches(texts: Iterable[str | None], limit: int = BATCH_BYTES) -> Iterator[t
         size += len(t or "") + 1
     if held:
         yield start, held
+
+
+def texts_of(frame: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
+    """The texts of an Arrow batch, of which few are held as Python strings at a time."""
+    for start in range(0, frame.num_rows, SLICE_ROWS):
+        yield from frame.column(column).slice(start, SLICE_ROWS).to_pylist()

@@ -29,7 +29,7 @@ result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import connected_components
-from keyfold.llm.hashing import U64, batches, mix, sequences_of, windows_of, words_of
+from keyfold.llm.hashing import U64, batches, mix, sequences_of, texts_of, windows_of, words_of
 from keyfold.session import write_stage
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ def _coefficients(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return values[0] * U64(2) + U64(1), values[1]
 
 
-def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, batch in batches(texts):
         words = words_of(batch, lower=True)
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, collections: int = COLLECTIONS, rows: int = ROWS
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             sizes, digests, halves = [], [], []
-            for s in shingle_sets(frame.column("text").to_pylist()):
+            for s in shingle_sets(texts_of(frame)):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 if not len(s):
@@ -161,7 +161,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int = THRES
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            found = [s.tobytes() for s in shingle_sets(frame.column("text").to_pylist())]
+            found = [s.tobytes() for s in shingle_sets(texts_of(frame))]
             yield pa.RecordBatch.from_arrays(
                 [frame.column(c) for c in ("doc_id", "component", "block", "blocks")] + [pa.array(found, pa.binary())],
                 names=["doc_id", "component", "block", "blocks", "shingles"])
