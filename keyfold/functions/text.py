@@ -55,7 +55,7 @@ def remove_stopwords(text: str | Column, stopwords: Sequence[str]) -> Column:
     return F.array_join(kept, " ")
 
 
-def pad_front(sequence: str | Column, length: int = SEQUENCE_LENGTH, value: int | float = 0) -> Column:
+def pad_front(sequence: str | Column, length: int, value: int | float = 0) -> Column:
     """Fixed-length array: zeros in front of a short sequence, the last values of a long one."""
     padding = F.array_repeat(F.lit(value), length)
     return F.slice(F.concat(padding, _column(sequence)), -length, length)

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
@@ -19,7 +19,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def vocabulary(df: DataFrame, text: str, order: str, cap: int = T.VOCABULARY_CAP) -> DataFrame:
+def vocabulary(df: DataFrame, text: str, order: str, cap: int) -> DataFrame:
     """The ``(word, idx, n)`` of the most frequent words, most frequent first, from 1.
 
     Ties go to the word met first, by ``order`` and place in the text. As in the tokenizer this
@@ -35,14 +35,22 @@ def vocabulary(df: DataFrame, text: str, order: str, cap: int = T.VOCABULARY_CAP
         "word", (F.col("_rank") + 1).cast("int").alias("idx"), "n")
 
 
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    vocab.select("word", "idx", "n").write.parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("word string, idx int, n bigint").parquet(path)
+
+
 def text_to_sequence(df: DataFrame, text: str, id_col: str, vocab: DataFrame) -> DataFrame:
     """``(id, sequence)``: vocabulary indexes of a text in order; words outside are dropped.
 
-    The vocabulary has at most its cap of rows, so it is broadcast; the only shuffle regroups
-    the indexes by text.
+    ``vocab`` should be a written table: Spark broadcasts it if its size allows, and splits the
+    partitions of very frequent words if not.
     """
     placed = df.select(id_col, F.posexplode_outer(T.vocabulary_words(text)).alias("_at", "word"))
-    found = placed.join(F.broadcast(vocab.select("word", "idx")), "word", "left")
+    found = placed.join(vocab.select("word", "idx"), "word", "left")
     pairs = F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("_at", "idx")))
     return found.groupBy(id_col).agg(F.transform(F.array_sort(pairs), lambda p: p["idx"]).alias("sequence"))
 
@@ -56,9 +64,9 @@ def new_words(vocab: DataFrame, vector_tables: Sequence[DataFrame]) -> DataFrame
 def new_word_rate(df: DataFrame, text: str, id_col: str, new: DataFrame) -> DataFrame:
     """``(id, uq_rate)``: share of a text's raw words that are new words; 1 for an empty text.
 
-    ``new`` is a subset of a capped vocabulary and is broadcast.
+    ``new`` should be a written table, as in ``text_to_sequence``.
     """
-    flagged = F.broadcast(new.select("word", F.lit(1).alias("_new")))
+    flagged = new.select("word", F.lit(1).alias("_new"))
     placed = df.select(id_col, F.explode_outer(T.words(text)).alias("word")).join(flagged, "word", "left")
     rate = F.sum(F.coalesce("_new", F.lit(0))) / F.count("word")
     return placed.groupBy(id_col).agg(

@@ -30,10 +30,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def spread_small(df: DataFrame, files: DataFrame, by: str) -> DataFrame:
-    """Spread rows that come from fewer files than there are cores; most cores would stay idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if len(files.inputFiles()) < cores else df
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Deal rows over the session's shuffle partitions, so that the stage has as many files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
 def staged_once(name: str, sf_dir: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
@@ -46,8 +45,7 @@ def staged_once(name: str, sf_dir: str, spark: SparkSession, build: Callable[[],
 
 def item_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items as a stage table: the feature queries scan it many times."""
-    return staged_once("items", sf_dir, spark, lambda: spread_small(
-        items(spark, sf_dir), read_table(spark, sf_dir, "lineitem"), "item_id"))
+    return staged_once("items", sf_dir, spark, lambda: spread(items(spark, sf_dir), "item_id"))
 
 
 def r6(column: str | Column, name: str | None = None) -> Column:

@@ -216,18 +216,20 @@ def std_calendar_by_user(spark, sf_dir):
     return _rounded(stages.stage7_calendar(_with_calendar(spark, sf_dir)), catalog.STD_CALENDAR_BY_USER)
 
 
-@query("pipeline_all_stages", with_items(
-    "SELECT f.*, c.week, c.dayofweek, c.day, p.population, m.unemployment_rate, m.GDP_PC_PPP, m.HDI FROM calendar c "
-    "LEFT JOIN stage5 f ON c.item_id = f.item_id LEFT JOIN population p ON f.item_id = p.item_id "
-    "LEFT JOIN region_macro m ON f.region = m.region",
-    _CUSTOMERS_SQL + _cte(
-        *_STAGE4_CTES, ("stage4", _STAGE4_SQL), _CALENDAR_CTE,
-        ("stage5_new", attach_sql("items", catalog.STAGE5, columns="t.item_id")),
-        ("stage5", f"SELECT s.* EXCLUDE ({', '.join(_DAY_DIFF)}), n.* EXCLUDE (item_id) FROM stage4 s "
-                   "LEFT JOIN stage5_new n ON s.item_id = n.item_id"),
-        ("population", "SELECT t.item_id, coalesce(f.population, c.population) AS population FROM items t "
-                       "LEFT JOIN region_city_population f ON t.city = f.city AND t.region = f.region "
-                       "LEFT JOIN city_population c ON t.city = c.city"))))
+PIPELINE_CTES = _CUSTOMERS_SQL + _cte(
+    *_STAGE4_CTES, ("stage4", _STAGE4_SQL), _CALENDAR_CTE,
+    ("stage5_new", attach_sql("items", catalog.STAGE5, columns="t.item_id")),
+    ("stage5", f"SELECT s.* EXCLUDE ({', '.join(_DAY_DIFF)}), n.* EXCLUDE (item_id) FROM stage4 s "
+               "LEFT JOIN stage5_new n ON s.item_id = n.item_id"),
+    ("population", "SELECT t.item_id, coalesce(f.population, c.population) AS population FROM items t "
+                   "LEFT JOIN region_city_population f ON t.city = f.city AND t.region = f.region "
+                   "LEFT JOIN city_population c ON t.city = c.city"))
+PIPELINE_SQL = ("SELECT f.*, c.week, c.dayofweek, c.day, p.population, m.unemployment_rate, m.GDP_PC_PPP, m.HDI "
+                "FROM calendar c LEFT JOIN stage5 f ON c.item_id = f.item_id "
+                "LEFT JOIN population p ON f.item_id = p.item_id LEFT JOIN region_macro m ON f.region = m.region")
+
+
+@query("pipeline_all_stages", with_items(PIPELINE_SQL, PIPELINE_CTES))
 def pipeline_all_stages(spark, sf_dir):
     """Stages three to eight in a row, each from the written result of the one before."""
     items = item_stage(spark, sf_dir)

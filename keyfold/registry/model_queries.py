@@ -7,19 +7,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyfold.features import catalog
+from keyfold.functions.scalar import clip_unit
 from keyfold.operators import crossfit, ensemble, rows
-from keyfold.operators.encode import fill_literals, label_encode
-from keyfold.registry.base import item_stage, query, r6, with_items
+from keyfold.operators.encode import fill_literals, fill_mean, fill_zero, label_encode
+from keyfold.plans import stages
+from keyfold.registry.base import item_stage, query, r6, staged_once, with_items
+from keyfold.registry.feature_queries import PIPELINE_CTES, PIPELINE_SQL, pipeline_all_stages
 from keyfold.session import write_stage
-from keyfold.sources.items import read_table
 
 FOLDS, SEEDS = ensemble.FOLDS, ensemble.SEEDS
 
 
-@query("kfold_assign", f"SELECT o_orderkey, CAST(o_orderkey % {FOLDS} AS INTEGER) AS fold FROM orders")
+@query("kfold_assign", with_items(
+    f"SELECT item_id, seed, CAST(CAST('0x' || substr(md5(item_id || ':' || seed), 1, 8) AS BIGINT) % {FOLDS} AS INTEGER) "
+    f"AS fold FROM items, (SELECT unnest({list(SEEDS)}) AS seed)"))
 def kfold_assign(spark, sf_dir):
-    return read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", ensemble.number_fold("o_orderkey").alias("fold"))
+    """The fold function of cross-fitting, for every seed."""
+    df = item_stage(spark, sf_dir)
+    return rows.append([df.select("item_id", F.lit(s).alias("seed"), ensemble.hash_fold("item_id", FOLDS, s).alias("fold"))
+                        for s in SEEDS])
 
 
 def _predictions(df, **parts):
@@ -103,29 +110,91 @@ def submission(spark, sf_dir):
     return ensemble.submission(template, predictions)
 
 
-# --- cross-fitting ----------------------------------------------------------------------------------
+# --- the model over the built features --------------------------------------------------------------
 _CATEGORIES = ["region", "city", "parent_category_name", "category_name", "param_1", "param_2", "param_3", "user_type"]
-_NUMBERS = ["price", "image_top_1", "item_seq_number"]
-# Few rounds, so that the checks stay short; the reference's run allows 3000.
-_PARAMS = crossfit.BoostingParams(rounds=3, depth=3)
+_BY_KEY = [f.name for f in catalog.STD_BY_KEY + catalog.STD_BY_ROUNDED_KEY]
+_BY_USER = [f.name for f in catalog.STD_CALENDAR_BY_USER]
+_COUNTED = [f.name for f in catalog.STAGE5 if f.kind in ("distinct", "span")]
+# What missing values become. The mean fills the price, 0 the distinct counts and spans.
+_NO_TEXT, _NO_NUMBER = "no_description", -1.0
+_ELIMINATE = 17
+
+_STD_SQL = ", ".join(
+    f"coalesce(round(stddev_samp({f.arg}) OVER (PARTITION BY {key(f.keys[0])}), 6), {_NO_NUMBER}) AS {f.name}"
+    for features, key in ((catalog.STD_BY_KEY + catalog.STD_CALENDAR_BY_USER, str),
+                          (catalog.STD_BY_ROUNDED_KEY, lambda k: f"CAST(round({k}) AS BIGINT)"))
+    for f in features)
+_FILLED_SQL = ", ".join(
+    [f"dense_rank() OVER (ORDER BY coalesce({c}, '{_NO_TEXT}')) - 1 AS {c}" for c in _CATEGORIES]
+    + ["round(coalesce(price, avg(price) OVER ()), 6) AS price", f"coalesce(image_top_1, {_NO_NUMBER}) AS image_top_1",
+       f"coalesce(population, {int(_NO_NUMBER)}) AS population"]
+    + [f"coalesce({c}, 0.0) AS {c}" for c in stages.MACRO_COLUMNS] + [f"coalesce({c}, 0) AS {c}" for c in _COUNTED])
+
+
+def model_inputs(spark, sf_dir):
+    """The last stage with standard deviations merged, missing values filled, categories coded and
+    listed items left out; written once for the queries on it."""
+    def build():
+        staged = write_stage(pipeline_all_stages(spark, sf_dir), "stage8")
+        merged = staged.join(write_stage(stages.stage7(staged), "stage7"), "item_id", "left").join(
+            write_stage(stages.stage7_calendar(staged), "stage7_calendar"), "item_id", "left")
+        filled = fill_zero(fill_literals(merged, {
+            **{c: _NO_TEXT for c in _CATEGORIES}, "image_top_1": _NO_NUMBER, "population": int(_NO_NUMBER),
+            **{c: _NO_NUMBER for c in _BY_KEY + _BY_USER}, **{c: 0.0 for c in stages.MACRO_COLUMNS}}), _COUNTED)
+        filled = write_stage(filled, "filled")
+        coded = label_encode(fill_mean(filled, ["price"]), _CATEGORIES)
+        listed = coded.select("item_id").filter(
+            F.conv(F.substring(F.md5("item_id"), 1, 6), 16, 10).cast("bigint") % _ELIMINATE == 0)
+        return rows.eliminate(coded, write_stage(listed, "eliminated"))
+    return staged_once("model_inputs", sf_dir, spark, build)
+
+
+@query("model_inputs", with_items(
+    f"SELECT * FROM (SELECT * REPLACE ({_FILLED_SQL}), {_STD_SQL} FROM stage8) WHERE "
+    f"CAST('0x' || substr(md5(item_id), 1, 6) AS INTEGER) % {_ELIMINATE} <> 0",
+    PIPELINE_CTES + f",\nstage8 AS MATERIALIZED ({PIPELINE_SQL})"))
+def model_inputs_query(spark, sf_dir):
+    df = model_inputs(spark, sf_dir)
+    return df.select(*[r6(c) if c in ("price", *_BY_KEY, *_BY_USER) else F.col(c) for c in df.columns])
 
 
 def fitted(spark, sf_dir):
-    df = item_stage(spark, sf_dir).select("item_id", *_CATEGORIES, *_NUMBERS, "deal_probability")
-    filled = fill_literals(df, {**{c: "no_description" for c in _CATEGORIES}, "image_top_1": -1.0, "price": -1.0})
-    coded = write_stage(label_encode(filled, _CATEGORIES), "coded_items")
-    labelled = rows.labelled(coded)
-    return crossfit.cross_fit(labelled, rows.unlabelled(coded), _CATEGORIES + _NUMBERS, params=_PARAMS)
+    """Cross-fitting on all built features, once for the queries that look at it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        df = model_inputs(spark, sf_dir)
+        predictors = [c for c in df.columns if c not in ("item_id", "user_id", rows.LABEL)]
+        _FITTED[key] = crossfit.cross_fit(rows.labelled(df), rows.unlabelled(df), predictors, categorical=_CATEGORIES)
+    return _FITTED[key]
+
+
+_FITTED: dict[tuple[str, str], crossfit.CrossFit] = {}
+_KEPT = f"CAST('0x' || substr(md5(item_id), 1, 6) AS INTEGER) % {_ELIMINATE} <> 0"
 
 
-@query("crossfit_gbt")
+@query("crossfit_gbt", with_items(
+    "SELECT item_id, deal_probability AS label, deal_probability IS NOT NULL AS is_oof, true AS in_range, CASE WHEN "
+    "deal_probability IS NOT NULL THEN CAST(CAST('0x' || substr(md5(item_id || ':7'), 1, 8) AS BIGINT) % "
+    f"{FOLDS} AS INTEGER) END AS fold FROM items WHERE {_KEPT}"))
 def crossfit_gbt(spark, sf_dir):
-    """Out-of-fold predictions of the labelled rows, then averaged ones of the others."""
+    """One out-of-fold prediction per labelled row and one averaged one for the others. The numbers are
+    the model's own; what can be checked of them is their ids, folds, labels and, clipped, their range."""
     result = fitted(spark, sf_dir)
-    oof = result.oof.select("item_id", "prediction", F.lit(True).alias("is_oof"))
-    return oof.unionByName(result.predictions.select("item_id", "prediction", F.lit(False).alias("is_oof")))
+    oof = result.oof.select("item_id", "label", F.lit(True).alias("is_oof"), "prediction", "fold")
+    rest = ensemble.submission(result.predictions, result.predictions, value="prediction").select(
+        "item_id", F.lit(None).cast("double").alias("label"), F.lit(False).alias("is_oof"), "prediction",
+        F.lit(None).cast("int").alias("fold"))
+    found = oof.withColumn("prediction", clip_unit("prediction")).unionByName(rest)
+    return found.select("item_id", "label", "is_oof", F.col("prediction").between(0, 1).alias("in_range"), "fold")
+
+
+@query("crossfit_error")
+def crossfit_error(spark, sf_dir):
+    """Out-of-fold error beside the spread of the labels, which is the error of their mean."""
+    return fitted(spark, sf_dir).oof.agg(ensemble.rmse().alias("error"), F.stddev_pop("label").alias("spread"))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    return crossfit.top_importance(fitted(spark, sf_dir).importance)
+    """The two hundred most important of about three hundred features."""
+    return crossfit.top_importance(fitted(spark, sf_dir).importance, 200)

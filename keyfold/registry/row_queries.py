@@ -12,7 +12,7 @@ from keyfold.functions import text as T
 from keyfold.operators import encode, enrich, profile, rows
 from keyfold.plans import stages
 from keyfold.registry.base import item_stage, query, r6, with_items
-from keyfold.session import stage_root
+from keyfold.session import stage_root, write_stage
 from keyfold.sources.files import read_csv, write_csv
 from keyfold.sources.items import ITEM_COLUMNS, read_table
 
@@ -180,11 +180,11 @@ _CUSTOMERS_SQL = """,
 customers AS (SELECT r_name AS region, n_name AS city, c_acctbal FROM customer
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 region_city_population AS (SELECT region, city, count(*) AS population FROM customers
-  WHERE region <> 'AFRICA' GROUP BY region, city),
+  GROUP BY region, city HAVING count(*) % 3 <> 0),
 city_population AS (SELECT city, count(*) AS population FROM customers
-  WHERE region IN ('AFRICA', 'ASIA') GROUP BY city),
+  GROUP BY city HAVING count(*) % 2 = 0),
 region_macro AS (SELECT region, round(avg(c_acctbal), 6) AS unemployment_rate, max(c_acctbal) AS GDP_PC_PPP,
-  min(c_acctbal) AS HDI FROM customers WHERE region <> 'EUROPE' GROUP BY region)"""
+  min(c_acctbal) AS HDI FROM customers GROUP BY region HAVING count(*) % 5 <> 0)"""
 
 
 def customers(spark, sf_dir):
@@ -195,18 +195,19 @@ def customers(spark, sf_dir):
 
 
 def population_tables(spark, sf_dir):
-    """Two population dimensions: they overlap in one region, and one region each is missing."""
-    people = customers(spark, sf_dir)
-    fine = people.filter("region <> 'AFRICA'").groupBy("region", "city").agg(F.count(F.lit(1)).alias("population"))
-    coarse = people.filter("region IN ('AFRICA', 'ASIA')").groupBy("city").agg(
-        F.count(F.lit(1)).alias("population"))
-    return fine, coarse
+    """Two population dimensions over all customers, each without some of its rows, by their own count,
+    so that look-ups miss. They are written, so that their size is known when they are joined."""
+    people, count = customers(spark, sf_dir), F.count(F.lit(1)).alias("population")
+    fine = people.groupBy("region", "city").agg(count).filter("population % 3 <> 0")
+    coarse = people.groupBy("city").agg(count).filter("population % 2 = 0")
+    return write_stage(fine, "population_fine"), write_stage(coarse, "population_coarse")
 
 
 def macro_table(spark, sf_dir):
-    return customers(spark, sf_dir).filter("region <> 'EUROPE'").groupBy("region").agg(
+    macros = customers(spark, sf_dir).groupBy("region").agg(
         F.round(F.avg("c_acctbal"), 6).alias("unemployment_rate"),
-        F.max("c_acctbal").alias("GDP_PC_PPP"), F.min("c_acctbal").alias("HDI"))
+        F.max("c_acctbal").alias("GDP_PC_PPP"), F.min("c_acctbal").alias("HDI"), F.count(F.lit(1)).alias("_n"))
+    return write_stage(macros.filter("_n % 5 <> 0").drop("_n"), "macros")
 
 
 @query("population_union", with_items(
@@ -316,7 +317,7 @@ def text_default(spark, sf_dir):
 
 
 # --- files ----------------------------------------------------------------------------------------
-_CSV_COLUMNS = ["item_id", *_PARAMS, "price", "image_top_1", "activation_date", "deal_probability"]
+_CSV_COLUMNS = ["item_id", *_PARAMS, "title", "description", "price", "image_top_1", "activation_date", "deal_probability"]
 
 
 @query("csv_roundtrip", with_items(f"SELECT {', '.join(_CSV_COLUMNS)} FROM items"))

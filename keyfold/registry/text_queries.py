@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
 from keyfold.operators import vocabulary as V
-from keyfold.registry.base import query, r6, spread_small, staged_once
-from keyfold.session import stage_root, write_stage
+from keyfold.registry.base import query, r6, spread, staged_once
+from keyfold.session import new_stage_path, write_stage
 from keyfold.sources.files import read_vectors, write_vectors
 from keyfold.sources.items import read_table
 
@@ -35,10 +33,11 @@ _VOCABULARY = (
     "ranked AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, first_met) AS INTEGER) AS idx, n FROM counted),\n"
     "vocab AS (SELECT * FROM ranked WHERE idx < (SELECT n FROM num))")
 _TEXT_CTES = f"WITH {_CLEANED},\n{_RAW},\n{_TOKENS},\n{_VOCABULARY}"
-# Word-vector tables: the words of one language's documents each.
-_LANGUAGES = ["de", "en", "es"]
+# Word-vector tables: each has the words of all documents but a fiftieth, by a hash of the word.
+_TABLES = [0, 1, 2]
 _NEW_WORDS = "fresh AS (" + " UNION ".join(
-    f"SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM tokens WHERE lang = '{x}')" for x in _LANGUAGES) + ")"
+    "SELECT word FROM vocab WHERE word NOT IN (SELECT word FROM tokens WHERE "
+    f"CAST('0x' || substr(md5(word), 1, 6) AS INTEGER) % 50 <> {x})" for x in _TABLES) + ")"
 _SEQUENCES = (
     "seqs AS (SELECT d.doc_id, coalesce(s.sequence, []::INTEGER[]) AS sequence FROM documents d LEFT JOIN "
     "(SELECT t.doc_id, list(v.idx ORDER BY t.place) AS sequence FROM tokens t JOIN vocab v USING (word) "
@@ -48,27 +47,32 @@ _SEQUENCES = (
 def cleaned(spark, sf_dir):
     """Documents with cleaned text, written once: vocabulary, sequences and rates all read it."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return staged_once("cleaned", sf_dir, spark, lambda: spread_small(documents, documents, "doc_id").select(
+    return staged_once("cleaned", sf_dir, spark, lambda: spread(documents, "doc_id").select(
         "doc_id", "lang", T.clean("text").alias("clean")))
 
 
 def vocabulary(spark, sf_dir):
-    return V.vocabulary(cleaned(spark, sf_dir), "clean", "doc_id")
+    """Saved once, and read by all that need word numbers."""
+    return staged_once("vocabulary", sf_dir, spark, lambda: V.vocabulary(
+        cleaned(spark, sf_dir), "clean", "doc_id", T.VOCABULARY_CAP))
 
 
 def sequences(spark, sf_dir):
-    vocab = write_stage(vocabulary(spark, sf_dir), "vocabulary")
-    return V.text_to_sequence(cleaned(spark, sf_dir), "clean", "doc_id", vocab)
+    return V.text_to_sequence(cleaned(spark, sf_dir), "clean", "doc_id", vocabulary(spark, sf_dir))
+
+
+def document_words(spark, sf_dir):
+    return staged_once("words", sf_dir, spark, lambda: cleaned(spark, sf_dir).select(
+        F.explode(T.vocabulary_words("clean")).alias("word")).distinct())
 
 
-def vector_words(spark, sf_dir, lang):
-    texts = cleaned(spark, sf_dir).filter(F.col("lang") == lang)
-    return texts.select(F.explode(T.vocabulary_words("clean")).alias("word")).distinct()
+def vector_words(spark, sf_dir, table):
+    number = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("bigint")
+    return document_words(spark, sf_dir).filter(number % 50 != table)
 
 
 def fresh_words(spark, sf_dir):
-    vocab = write_stage(vocabulary(spark, sf_dir), "vocabulary")
-    return V.new_words(vocab, [vector_words(spark, sf_dir, x) for x in _LANGUAGES])
+    return V.new_words(vocabulary(spark, sf_dir), [vector_words(spark, sf_dir, x) for x in _TABLES])
 
 
 @query("text_clean", f"WITH {_CLEANED} SELECT doc_id, clean FROM cleaned")
@@ -106,7 +110,7 @@ def text_to_sequence(spark, sf_dir):
        "THEN list_slice(sequence, len(sequence) - 299, len(sequence)) ELSE "
        "list_concat(list_transform(range(300 - len(sequence)), lambda x: 0::INTEGER), sequence) END AS padded FROM seqs")
 def pad_sequence(spark, sf_dir):
-    return sequences(spark, sf_dir).select("doc_id", T.pad_front("sequence").alias("padded"))
+    return sequences(spark, sf_dir).select("doc_id", T.pad_front("sequence", T.SEQUENCE_LENGTH).alias("padded"))
 
 
 @query("new_words", f"{_TEXT_CTES},\n{_NEW_WORDS} SELECT word FROM fresh")
@@ -124,32 +128,49 @@ def oov_rate(spark, sf_dir):
     return rates.select("doc_id", F.round("uq_rate", 6).alias("uq_rate"))
 
 
+@query("vocab_reload", f"{_TEXT_CTES},\n{_SEQUENCES} SELECT doc_id, list_reverse(sequence) AS sequence FROM seqs")
+def vocab_reload(spark, sf_dir):
+    """Sequences of other texts, here the same words backwards, under a vocabulary saved and read again."""
+    path = new_stage_path(spark, "saved_vocabulary")
+    V.save_vocabulary(vocabulary(spark, sf_dir), path)
+    backwards = cleaned(spark, sf_dir).select("doc_id", F.array_join(
+        F.reverse(T.vocabulary_words("clean")), " ").alias("clean"))
+    return V.text_to_sequence(backwards, "clean", "doc_id", V.load_vocabulary(spark, path))
+
+
 # --- word vectors ---------------------------------------------------------------------------------
-VECTOR_SIZE = 8
+# The given vectors, under the words of the same number.
+_VECTORS = "vectors AS (SELECT v.word, e.embedding AS vector FROM embeddings e JOIN vocab v ON v.idx = e.vec_id + 1)"
+# Fixed value: length of the given vectors.
+VECTOR_SIZE = 64
 
 
 def vector_file(spark, sf_dir):
-    """A text file of word vectors for the English words of the documents, made by Spark from their hashes."""
-    words = vector_words(spark, sf_dir, "en")
-    value = F.transform(F.sequence(F.lit(1), F.lit(VECTOR_SIZE)),
-                        lambda i: (F.pmod(F.xxhash64("word", i), F.lit(2000)) / 1000 - 1).cast("float"))
-    path = f"{stage_root(spark)}/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
-    write_vectors(words.select("word", value.alias("vector")), path)
+    """The given vectors, written as text lines of word and values and read from there."""
+    words = vocabulary(spark, sf_dir).join(
+        read_table(spark, sf_dir, "embeddings"), F.col("idx") == F.col("vec_id") + 1)
+    path = new_stage_path(spark, "vectors")
+    write_vectors(words.select("word", F.col("embedding").alias("vector")), path)
     return read_vectors(spark, path)
 
 
-@query("embedding_load")
+@query("embedding_load", f"{_TEXT_CTES},\n{_VECTORS} SELECT word, vector FROM vectors")
 def embedding_load(spark, sf_dir):
     return vector_file(spark, sf_dir)
 
 
-@query("embedding_stats")
+@query("embedding_stats", f"{_TEXT_CTES},\n{_VECTORS} SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std "
+       "FROM (SELECT CAST(unnest(vector) AS DOUBLE) AS v FROM vectors)")
 def embedding_stats(spark, sf_dir):
     return V.vector_stats(vector_file(spark, sf_dir), VECTOR_SIZE).select(r6("mean"), r6("std"))
 
 
-@query("embedding_lookup")
+@query("embedding_lookup", f"{_TEXT_CTES},\n{_VECTORS} SELECT v.word, v.idx, x.vector IS NULL AS is_new, "
+       f"coalesce(len(x.vector), {VECTOR_SIZE}) AS size, x.vector FROM vocab v LEFT JOIN vectors x USING (word)")
 def embedding_lookup(spark, sf_dir):
+    """A word without a vector has random values, which are left out here; a test looks at them."""
     vectors = write_stage(vector_file(spark, sf_dir), "vectors")
     stats = V.vector_stats(vectors, VECTOR_SIZE).first()
-    return V.attach_vectors(vocabulary(spark, sf_dir), vectors, VECTOR_SIZE, stats["mean"], stats["std"])
+    found = V.attach_vectors(vocabulary(spark, sf_dir), vectors, VECTOR_SIZE, stats["mean"], stats["std"])
+    return found.select("word", "idx", "is_new", F.size("vector").cast("bigint").alias("size"),
+                        F.when(~F.col("is_new"), F.col("vector")).alias("vector"))

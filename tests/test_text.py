@@ -76,7 +76,7 @@ def test_sequences_and_padding(cleaned):
 
 
 def test_new_words_and_rate(spark, cleaned):
-    vocab = V.vocabulary(cleaned, "text", "id")
+    vocab = V.vocabulary(cleaned, "text", "id", 100_000)
     known = [spark.createDataFrame([(w,) for w in ws], "word string")
              for ws in (["car", "red", "the"], ["car", "red"], ["car"])]
     new = V.new_words(vocab, known)
