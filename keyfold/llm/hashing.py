@@ -22,7 +22,7 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 
 # Bytes hashed at once; a longer text is hashed alone. Hashing takes about forty times as much.
 BATCH_BYTES = 1 << 20
-# Rows of an Arrow batch whose texts are Python strings at once.
+# Rows of an Arrow batch that are Python objects at once.
 SLICE_ROWS = 512
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -120,7 +120,13 @@ def batches(texts: Iterable[str | None], limit: int = BATCH_BYTES) -> Iterator[t
         yield start, held
 
 
-def texts_of(frame: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
-    """The texts of an Arrow batch, of which few are held as Python strings at a time."""
+def slices_of(frame: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in slices, of which few are held as Python objects at a time."""
     for start in range(0, frame.num_rows, SLICE_ROWS):
-        yield from frame.column(column).slice(start, SLICE_ROWS).to_pylist()
+        yield frame.slice(start, SLICE_ROWS)
+
+
+def texts_of(frame: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
+    """The texts of an Arrow batch, slice by slice."""
+    for part in slices_of(frame):
+        yield from part.column(column).to_pylist()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import connected_components
-from keyfold.llm.hashing import U64, batches, mix, sequences_of, texts_of, windows_of, words_of
+from keyfold.llm.hashing import U64, batches, mix, sequences_of, slices_of, texts_of, windows_of, words_of
 from keyfold.session import write_stage
 
 SHINGLE = 5
@@ -160,10 +160,10 @@ def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int = THRES
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            found = [s.tobytes() for s in shingle_sets(texts_of(frame))]
+        for part in (p for frame in frames for p in slices_of(frame)):
+            found = [s.tobytes() for s in shingle_sets(texts_of(part))]
             yield pa.RecordBatch.from_arrays(
-                [frame.column(c) for c in ("doc_id", "component", "block", "blocks")] + [pa.array(found, pa.binary())],
+                [part.column(c) for c in ("doc_id", "component", "block", "blocks")] + [pa.array(found, pa.binary())],
                 names=["doc_id", "component", "block", "blocks", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").select(
@@ -175,7 +175,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, threshold: int = THRES
         "block", "doc_id", "shingles")
 
     def link(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for f in frames for r in zip(*(f.column(c).to_pylist() for c in (
+        rows = (r for f in frames for p in slices_of(f) for r in zip(*(p.column(c).to_pylist() for c in (
             "component", "i", "j", "block", "doc_id", "shingles")), strict=True))
         for _, unit in groupby(rows, key=lambda r: r[:3]):
             side, ids, held = [], [], []

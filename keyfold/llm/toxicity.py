@@ -16,6 +16,7 @@ grade that was seen (0 without any); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.llm.hashing import slices_of, texts_of
+
 SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 12_000, 3_000, 3
 PENALTY, STEPS, RATE = 3e-4, 300, 0.1
 # Weight of documents above the lowest grade, which are rare.
@@ -142,17 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [(w, g) for t, g in zip(f["text"], f["grade"], strict=True) for w in features_in(t)]
-            yield pd.DataFrame(found, columns=["word", "grade"])
+    def spell(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each feature of a slice of documents, with how many hold it and the sum of their grades."""
+        for part in (p for f in frames for p in slices_of(f)):
+            n, total = Counter(), Counter()
+            for t, g in zip(part.column("text").to_pylist(), part.column("grade").to_pylist(), strict=True):
+                for w in features_in(t):
+                    n[w] += 1
+                    total[w] += g
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array(total.values(), pa.int64())],
+                names=["word", "n", "sum"])
 
     rated = sample.agg(F.avg("grade").alias("mean"), F.stddev_pop("grade").alias("spread")).first()
     if not rated["spread"]:
         return OrdinalModel({}, np.zeros(0), np.zeros(0), int(rated["mean"] or 0))
     surely = F.abs(F.col("sum") - F.col("n") * rated["mean"]) / (F.sqrt("n") * rated["spread"])
-    counted = chosen.select("text", "grade").mapInPandas(spell, "word string, grade int").groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("grade").alias("sum")).filter(F.col("n") >= MIN_DOCUMENTS)
+    counted = chosen.select("text", "grade").mapInArrow(spell, "word string, n long, sum long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("sum").alias("sum")).filter(F.col("n") >= MIN_DOCUMENTS)
     words = [r["word"] for r in counted.orderBy(surely.desc(), "word").limit(features).collect()]
     vocabulary = {w: i for i, w in enumerate(words)}
 
@@ -191,7 +201,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) ->
     """The rows of ``docs`` that are not toxic, with all their columns."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            above = model.at_least(model.scores(f.column("text").to_pylist()))
+            above = model.at_least(model.scores(texts_of(f)))
             yield f.filter(pa.array(model.lowest + above.sum(1) < reject))
 
     return docs.mapInArrow(run, docs.schema)
