@@ -7,7 +7,7 @@ as often as whole epochs fit into its source's budget, and once more as far as t
 
 Cases: a null text has size 0; a null source is a source of its own, the last; repeated rows count
 each for itself; documents of size 0 are never taken; an empty table gives an empty result. The
-key is a hash of id and seed, so reruns agree.
+key is a hash of id and seed, so reruns agree; a null id has one key for all its rows.
 """
 
 from __future__ import annotations
@@ -73,8 +73,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     ``taken`` counts words over all epochs; within a source it sums to the target, rounded down to
     a whole word.
     """
+    return _mix(docs, ["doc_id"], weights, share, max_epochs, seed)
+
+
+def _mix(docs: DataFrame, ids: Sequence[str], weights: Sequence[float] = WEIGHTS, share: float = SHARE,
+         max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``mix`` with the columns ``ids``, by which rows of one key are ordered."""
     narrow = write_stage(docs.select(
-        "doc_id", _source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size"),
+        *ids, _source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size"),
         F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10)
         .cast("bigint").alias("_key")), "sizes")
     sources = narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -86,14 +92,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = write_stage(sums.select("_source", "_range", F.coalesce(
         F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")), "offsets")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", *ids, "size").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, ["_source", "_range"])
     epochs = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0))
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_offset")))
-    return placed.select("doc_id", "size", "source_size", "target",
+    return placed.select(*ids, "size", "source_size", "target",
                          (epochs * F.col("size") + part).cast("bigint").alias("taken"))
 
 
@@ -107,13 +113,16 @@ def take(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, in the columns of ``docs``: each document once per whole epoch, and the part of
     a last epoch, which only the document at its source's budget takes of in part.
 
-    Documents are matched to their shares by id; of repeated rows with one id, one is taken for all.
+    Rows are matched to their shares by a number that a written copy of ``docs`` gives them, so ids may
+    repeat or be null. Columns of the names used here are carried in a struct and cannot clash.
     """
-    shares = write_stage(mix(docs, **settings).groupBy("doc_id").agg(
-        F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter("_taken > 0"), "shares")
-    joined = docs.dropDuplicates(["doc_id"]).join(shares, "doc_id")
+    numbered = write_stage(docs.select(
+        F.struct(*docs.columns).alias("_all"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    narrow = numbered.select("_all.doc_id", "_all.text", "_all.source", "_row")
+    shares = write_stage(_mix(narrow, ["doc_id", "_row"], **settings).filter("taken > 0").select(
+        "_row", F.col("size").alias("_size"), F.col("taken").alias("_taken")), "shares")
     times = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(_taken - 1) div _size"))).alias("_time")
-    spread = joined.select(*docs.columns, "_size", "_taken", times)
-    left = F.col("_taken") - F.col("_time") * F.col("_size")
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(_cut(F.col("text"), left))
-    return spread.withColumn("text", text).select(*docs.columns)
+    spread = numbered.join(shares, "_row").select("_all", "_size", "_taken", times)
+    left, text = F.col("_taken") - F.col("_time") * F.col("_size"), F.col("_all.text")
+    cut = F.when(left >= F.col("_size"), text).otherwise(_cut(text, left)).alias("text")
+    return spread.select(*[cut if c == "text" else F.col("_all").getField(c).alias(c) for c in docs.columns])

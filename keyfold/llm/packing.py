@@ -9,8 +9,9 @@ the pool has pieces for. Where no multiset closes a window, one piece is cut to
 Each task packs the documents of its own partition as they stream by, so nothing is shuffled, and
 memory holds one pool. Only the last window of a partition can stay short.
 
-Cases: a null or empty text still has its end token; repeated rows are packed each for itself;
-a document of any length is cut; an empty table gives an empty result.
+Cases: a null or empty text still has its end token; repeated rows, and rows without an id, are
+packed each for itself; a document of any length is cut, and its ids are in memory at once; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from keyfold.llm.hashing import slices_of
 from keyfold.llm.tokenizing import encoder_of, read_tokenizer
 
 WINDOW = 4096
@@ -71,11 +74,11 @@ class Packer:
 
     def __init__(self, window: int, first_sequence: int):
         self.window, self.sequence = window, first_sequence
-        self.pool: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
+        self.pool: dict[int, list[tuple[int | None, int, int, bytes]]] = defaultdict(list)
         self.held = 0
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         tokens = len(ids) // 4
         whole = tokens // self.window * self.window
         for start in range(0, whole, self.window):
@@ -131,16 +134,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     tokenizer = read_tokenizer(tokenizer_path)
     end = end_token.to_bytes(4, "little")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
 
-        def placed() -> pd.DataFrame:
+        def placed() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for frame in (p for f in frames for p in slices_of(f)):
+            for doc_id, text in zip(frame.column("doc_id").to_pylist(), frame.column("text").to_pylist(), strict=True):
                 packer.add(doc_id, encoder.encode(text) + end)
                 if packer.held >= pool:
                     packer.pack(pool_low)
@@ -150,4 +154,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
         if packer.rows:
             yield placed()
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

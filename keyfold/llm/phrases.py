@@ -16,8 +16,10 @@ Every document meets exactly one automaton, which holds every recurring passage
 contain, so the work grows with the corpus and not with corpus times shards. Step 1 and step 3
 group the documents in the same way and share one shuffle.
 
-Cases: a null text has no words; a text shorter than a window cannot lose any; repeated rows recur
-in each other; other columns are not read; an empty table gives an empty result.
+Cases: a null text has no words; a text shorter than a window cannot lose any; a text of any length
+stays in one slice, which is hashed at once in about forty times its bytes; repeated rows recur in
+each other; rows without an id are judged like others; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import hashlib
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,40 +138,44 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, owners = volume // slice_bytes + 1, volume // owner_bytes + 1
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"))
+    # Rows of one id, or of none, are told apart by their texts.
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", number.alias("slice"))
 
-    def send(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, hashes = _windows_of_slice(words_of(frame["text"].tolist()), window)
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        _, hashes = _windows_of_slice(words_of(table.column("text").to_pylist()), window)
         hashes, counts = np.unique(hashes, return_counts=True)
         owner = ((hashes >> U64(32)) % U64(owners)).astype(np.int64)
         order = np.argsort(owner, kind="stable")
         marked = (hashes | (counts > 1).astype(U64))[order]
         owned, begins = np.unique(owner[order], return_index=True)
-        return pd.DataFrame({"owner": owned, "slice": key[0],
-                             "hashes": [b.tobytes() for b in np.split(marked, begins[1:])] if len(owned) else []})
+        blocks = [b.tobytes() for b in np.split(marked, begins[1:])] if len(owned) else []
+        return pa.table({"owner": owned, "slice": pa.array([key[0].as_py()] * len(owned), pa.int64()),
+                         "hashes": pa.array(blocks, pa.binary())})
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        blocks = [np.frombuffer(b, U64) for b in frame["hashes"]]
+    def compare(table: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(b, U64) for b in table.column("hashes").to_pylist()]
         marked = np.concatenate(blocks)
         hashes, inverse, counts = np.unique(marked & ~_MARK, return_inverse=True, return_counts=True)
         twice = counts > 1
         twice[inverse[(marked & _MARK) == _MARK]] = True
         ends = np.cumsum([len(b) for b in blocks])
-        return pd.DataFrame({"slice": frame["slice"], "hashes": [
-            (b & ~_MARK)[t].tobytes() for b, t in zip(blocks, np.split(twice[inverse], ends[:-1]), strict=True)]})
+        return pa.table({"slice": table.column("slice"), "hashes": pa.array([
+            (b & ~_MARK)[t].tobytes() for b, t in zip(blocks, np.split(twice[inverse], ends[:-1]), strict=True)], pa.binary())})
 
-    def cut(documents: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        recurring = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(b, U64) for b in told["hashes"])]))
-        words = words_of(documents["text"].tolist())
+    def cut(documents: pa.Table, told: pa.Table) -> pa.Table:
+        recurring = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(b, U64) for b in told.column("hashes").to_pylist())]))
+        words = words_of(documents.column("text").to_pylist())
         covered = covered_words(words, recurring, window)
         counts = words.counts()
         removed = np.add.reduceat(np.append(covered, False), words.first[:-1], dtype=np.int64) if len(counts) else counts
         kept = [_kept(words, covered, i) for i in range(len(counts))]
-        return pd.DataFrame({
-            "doc_id": documents["doc_id"], "n_words": counts, "n_removed": np.where(counts > 0, removed, 0),
+        return pa.table({
+            "doc_id": documents.column("doc_id"), "n_words": counts.astype(np.int64),
+            "n_removed": np.where(counts > 0, removed, 0).astype(np.int64),
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-            "kept": [k.decode("utf-8", "surrogatepass") for k in kept] if keep_text else None})
+            "kept": pa.array([k.decode("utf-8", "surrogatepass") if keep_text else None for k in kept], pa.string())})
 
-    sent = dealt.groupBy("slice").applyInPandas(send, "owner long, slice long, hashes binary")
-    told = sent.groupBy("owner").applyInPandas(compare, "slice long, hashes binary")
-    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInPandas(cut, _RESULT)
+    sent = dealt.groupBy("slice").applyInArrow(send, "owner long, slice long, hashes binary")
+    told = sent.groupBy("owner").applyInArrow(compare, "slice long, hashes binary")
+    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(cut, _RESULT)

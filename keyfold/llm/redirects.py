@@ -15,14 +15,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import connected_components
 from keyfold.session import write_stage
 
-# Rules become one expression each, so a list of them is kept short.
-MAX_RULES = 500
+# Up to this many rules become one expression each; a longer list would outgrow generated code, and
+# becomes a table that is joined.
+EXPRESSION_RULES = 8
 
 
 @dataclass(frozen=True)
@@ -63,16 +64,45 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """Text of the longest rule that fits; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """``(rule, verdict)`` of the longest rule that fits; null if none does."""
     fits = [F.when(((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path)),
-                   F.lit(r.text)) for r in sorted(rules, key=lambda r: (-len(r.text), r.text))]
-    return F.coalesce(*fits, F.lit(None).cast("string"))
+                   F.lit(i)) for i, r in sorted(enumerate(rules), key=lambda p: (-len(p[1].text), p[1].text))]
+    told = F.array(*[F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in rules])
+    return F.get(told, F.coalesce(*fits, F.lit(None).cast("int")))
 
 
-def _verdict_of(rule: Column, rules: Sequence[Rule]) -> Column:
-    return F.coalesce(*[F.when(rule == r.text, r.verdict) for r in rules], F.lit(None).cast("string"))
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """``(rule_host, rule_path, verdict)``; of rules with one host and path the first counts."""
+    first = {(r.host, r.path): r.verdict for r in reversed(rules)}
+    return spark.createDataFrame([(*k, v) for k, v in first.items()], "rule_host string, rule_path string, verdict string")
+
+
+def join_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``rule`` and ``_own``, text and verdict of the longest rule that fits ``host`` and ``path``.
+
+    Each distinct host and path meets the rules' path lengths under each of its host's endings, and
+    then the rule of that ending and that beginning of the path, so both joins are on equality.
+    Rules of one text (``a/`` + ``b`` and ``a`` + ``/b`` cannot differ, as hosts hold no slash) agree.
+    """
+    urls = df.select("host", "path").distinct()
+    names = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index(F.col("host"), ".", -i))
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("_lengths"))
+    under = urls.select("host", "path", F.explode(names).alias("rule_host")).join(lengths, "rule_host")
+    tried = under.select("host", "path", "rule_host", F.explode("_lengths").alias("_length")).filter(
+        F.col("_length") <= F.length("path"))
+    found = tried.withColumn("rule_path", F.substr("path", F.lit(1), F.col("_length"))).join(rules, ["rule_host", "rule_path"])
+    text = F.concat("rule_host", "rule_path")
+    best = found.groupBy("host", "path").agg(F.max_by(F.struct(text.alias("rule"), "verdict"), F.length(text)).alias("_best"))
+    told = write_stage(best.select("host", "path", "_best.rule", F.col("_best.verdict").alias("_own")), "ruled")
+    return df.join(told, ["host", "path"], "left")
+
+
+def with_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``df (host, path, ...)`` with ``rule`` and ``_own``, by whichever way suits the number of rules."""
+    if not rules or len(rules) > EXPRESSION_RULES:
+        return join_rules(df, rule_table(df.sparkSession, rules))
+    told = rule_of(F.col("host"), F.col("path"), rules)
+    return df.withColumn("_told", told).withColumns({"rule": F.col("_told.rule"), "_own": F.col("_told.verdict")}).drop("_told")
 
 
 def _node(url: Column) -> Column:
@@ -123,15 +153,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataF
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
                           F.when(F.instr(url, "://") > 0, _node(url)).alias("_url"))
-    judged = judged.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = with_rules(judged, rules)
     members = connected_components(edges)
     # A node is a URL without its scheme, so its own rule is found as for a page.
     named = F.concat(F.lit("http://"), F.col("node"))
-    verdicts = members.withColumn("_verdict", _verdict_of(rule_of(host_of(named), path_of(named), rules), rules))
+    verdicts = with_rules(members.withColumns({"host": host_of(named), "path": path_of(named)}), rules)
     # Allow sorts before block, which is the precedence wanted.
-    components = write_stage(verdicts.groupBy("component").agg(F.min("_verdict").alias("_shared")), "verdicts")
+    components = write_stage(verdicts.groupBy("component").agg(F.min("_own").alias("_shared")), "verdicts")
     aliases = write_stage(members.join(components, "component").select(
         F.col("node").alias("_node"), "_shared").filter("_shared IS NOT NULL"), "aliases")
     out = judged.join(aliases, F.col("_url") == F.col("_node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(
-        _verdict_of(F.col("rule"), rules), "_shared", F.lit("allow")).alias("verdict"))
+        "_own", "_shared", F.lit("allow")).alias("verdict"))

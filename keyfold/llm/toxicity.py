@@ -9,7 +9,7 @@ The model is fitted on at most ``SAMPLE_ROWS`` labelled documents, taken by a ha
 vocabulary holds the ``FEATURES`` features whose presence goes with the grade most surely, by the score
 of a test on the mean grade. Scoring reads every whole text.
 
-Cases: a null text has no words; labels that are null count as no label, and of repeated labels the
+Cases: a null text has no words; a very long text is read whole; rows without an id are graded; labels that are null count as no label, and of repeated labels the
 highest grade counts; without labelled documents, or with one grade only, every document gets the
 grade that was seen (0 without any); an empty table gives an empty result.
 """
@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     """
     sample = labels.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(
         F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Of the rows with one id one is read, whichever has the largest hash, so the sample is bounded in rows.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(
+        F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("grade").alias("grade"))
 
     def spell(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each feature of a slice of documents, with how many hold it and the sum of their grades."""
@@ -185,15 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, reject: float = REJECT) -> DataFrame:
     """``(doc_id, expected_severity, grade, toxic, kept)`` for each row of ``docs (doc_id, text)``."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            above = model.at_least(model.scores(f["text"]))
+            above = model.at_least(model.scores(texts_of(f)))
             expected = model.lowest + above.sum(1)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "expected_severity": expected.round(6),
-                                "grade": model.lowest + (above >= 0.5).sum(1), "toxic": expected >= reject,
-                                "kept": expected < reject})
+            yield pa.RecordBatch.from_arrays(
+                [f.column("doc_id"), pa.array(expected.round(6)), pa.array((model.lowest + (above >= 0.5).sum(1)).astype(np.int32)),
+                 pa.array(expected >= reject), pa.array(expected < reject)],
+                names=["doc_id", "expected_severity", "grade", "toxic", "kept"])
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, expected_severity double, grade int, toxic boolean, kept boolean")
 
 

@@ -1,6 +1,8 @@
 """The corpus operators against brute force, and on hostile tables."""
 
 import hashlib
+import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -490,3 +492,136 @@ def test_pipeline_stages_against_brute_force(spark, few):
     total, taken = (sum(len(words(r["text"])) for r in t.collect()) for t in (near, mix))
     assert abs(taken - 1.5 * total) <= 30
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == sum(len(d) // 4 for _, d in encoded(mix, WORD_TOKENIZER))
+
+
+# --- null and large ids, clashing names, empty tables ---------------------------------------------------
+BIG = 1 << 60
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark):
+    """Ids that a float cannot hold beside null ids and repeated ids, in one batch."""
+    text = " ".join(f"p{i}" for i in range(50))
+    rows = [(BIG + 1, text + " one"), (None, text + " two"), (BIG + 3, "idiot scum a b c d"), (None, None), (7, "a b c d"),
+            (7, "e f g h i j k l"), (8, "q r s t"), (None, "m n o")]
+    return spark.createDataFrame([(i, t, "s", n, n, n, n) for n, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, source string, _row int, _size int, _taken int, _all int").coalesce(1)
+
+
+def by_id(ids):
+    return sorted(ids, key=lambda i: (i is not None, i))
+
+
+def test_ids_stay_as_they_are(spark, odd_ids):
+    ids = by_id(r["doc_id"] for r in odd_ids.collect())
+    model = toxicity.fit(odd_ids, spark.createDataFrame([(BIG + 3, 1), (7, 0)], "doc_id long, grade int"))
+    path = new_stage_path(spark, "tokens")
+    tokens.write_token_files(odd_ids, path, BYTE_TOKENIZER)
+    for found in (packing.pack_documents(odd_ids, WORD_TOKENIZER), phrases.remove_recurring(odd_ids),
+                  toxicity.grade_documents(odd_ids, model), mixing.mix(odd_ids), minhash.near_duplicates(odd_ids),
+                  tokens.token_digest(tokens.read_token_files(spark, path)), exact.exact_duplicates(odd_ids),
+                  pii.personal_data_digest(odd_ids)):
+        assert by_id(r["doc_id"] for r in found.collect()) == ids
+    assert sorted(r["n_removed"] for r in phrases.remove_recurring(odd_ids).collect())[-2:] == [50, 50]
+
+
+def test_take_by_row(odd_ids):
+    wanted = sum(r["taken"] for r in mixing.mix(odd_ids).collect())
+    got = mixing.take(odd_ids)
+    assert got.columns == odd_ids.columns
+    rows = got.collect()
+    assert sum(len(words(r["text"])) for r in rows) == wanted
+    assert {r["_row"] for r in rows} == {0, 1, 2, 4, 5, 6, 7}
+    assert mixing.take(odd_ids.filter("_row < 0")).count() == 0
+
+
+def test_empty_tables_pass_the_stages(docs):
+    empty = docs.filter("doc_id < 0")
+    for out in (minhash.keep_one_of_each(empty), exact.drop_duplicates(empty), mixing.take(empty)):
+        assert out.columns == docs.columns and out.count() == 0
+
+
+# --- encoder ----------------------------------------------------------------------------------------------
+ODD_PARTS = [*"aAbzZIiİıSsŞşßẞΣσςÉé çÇñÑ'.,;:!?)(-_09 1²½Ⅷ１한글漢字ǅǰŉΐᾷﬁΩÅ", "\u0307", "\u0301", "\u0345", "\u200b", "\n", "\t", "\r", "  ",
+             "\u00a0", "\u3000", "'s", "'LL", "<|endoftext|>", "<", "|>", "\U0001f600", "DERSİ", "BELEDİYESİ,", "\x1c", "\x85", "\ufeff"]
+
+
+@pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
+def test_encoder_equals_the_library_on_random_texts(path):
+    rng = random.Random(7)
+    encoder, plain = Encoder(read_tokenizer(path)), Tokenizer.from_file(path)
+    texts = ["".join(rng.choices(ODD_PARTS, k=rng.randint(1, 14))) for _ in range(50_000)]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_encoder_of_an_unknown_rule_is_the_library(few):
+    stated = json.loads(read_tokenizer(WORD_TOKENIZER))
+    stated["normalizer"]["normalizers"] = stated["normalizer"]["normalizers"][:2]  # keeps capitals
+    encoder, plain = Encoder(json.dumps(stated)), Tokenizer.from_str(json.dumps(stated))
+    assert not encoder.known
+    for r in few.limit(20).collect():
+        assert np.frombuffer(encoder.encode(r["text"]), "<u4").tolist() == plain.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+# --- rules and links against brute force ---------------------------------------------------------------------
+def test_many_rules_as_a_table(spark, monkeypatch):
+    hosts = ["a.com", "b.a.com", "com", "x.org", "org", "", "no.such"]
+    paths = ["/", "/a", "/a/b", "/ab", ""]
+    rules = [redirects.Rule(h, p, "block" if (i + j) % 2 else "allow") for i, h in enumerate(hosts[:5]) for j, p in enumerate(paths) if (i, j) != (2, 4)]
+    pages = [(i, f"http://{h}{p}{q}", None) for i, (h, p, q) in enumerate((h, p, q) for h in [*hosts, "c.b.a.com", "xa.com"] for p in paths for q in ("", "c?x"))]
+    df = spark.createDataFrame([*pages, pages[0], (99, None, None)], "page_id long, url string, html string")
+    as_expression = sorted(rows_of(redirects.judge_urls(df, rules[:8])), key=repr)
+    monkeypatch.setattr(redirects, "EXPRESSION_RULES", 0)
+    assert sorted(rows_of(redirects.judge_urls(df, rules[:8])), key=repr) == as_expression
+    want = []
+    for i, u, _ in [*pages, pages[0], (99, None, None)]:
+        host, path = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1]).groups() if u else ("", "")
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fit, key=lambda r: len(r.text), default=None)
+        want.append((i, host, path, rule and rule.text, rule.verdict if rule else "allow"))
+    more = [redirects.Rule(f"h{i}.net", "/", "block") for i in range(2000)]
+    for listed in (rules, [*rules, *more]):
+        assert sorted(rows_of(redirects.judge_urls(df, listed)), key=repr) == sorted(want, key=repr)
+
+
+def test_links_of_a_whole_table_against_union_find(spark):
+    """Every given page links to a page drawn by a hash; verdicts follow from a plain union-find."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = {r["page_id"]: r["url"] for r in pages.collect() if r["url"] and "://" in r["url"]}
+    ids = sorted(rows)
+    target = {i: rows[ids[zlib.crc32(str(i).encode()) % len(ids)]] for i in ids if i % 3}
+    linked = spark.createDataFrame([(i, u, f'<link rel="canonical" href="{target[i]}">' if i in target else None)
+                                    for i, u in rows.items()], "page_id long, url string, html string")
+    rules = [*redirects.RULES, redirects.Rule("org", "/de/", "block")]
+
+    def parts(url):
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+        return m[1].lower(), m[2]
+
+    def node(url):
+        host, rest = re.match(r"([^/?#]*)([^#]*)", url.split("://", 1)[1]).groups()
+        return host.lower() + (rest or "/")
+
+    def own(host, path):
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fit, key=lambda r: len(r.text)) if fit else None
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+    for i, t in target.items():
+        root[find(node(rows[i]))] = find(node(t))
+    shared = defaultdict(set)
+    for n in list(root):
+        rule = own(*parts("x://" + n))
+        shared[find(n)] |= {rule.verdict} if rule else set()
+    want = []
+    for i, u in rows.items():
+        rule, found = own(*parts(u)), shared[find(node(u))] if node(u) in root else set()
+        want.append((i, *parts(u), rule and rule.text, rule.verdict if rule else min(found, default="allow")))
+    got = rows_of(redirects.judge_urls(linked, rules))
+    assert sorted(got) == sorted(want)
+    assert sum(r[3] is None and r[4] == "block" for r in got) > 5
