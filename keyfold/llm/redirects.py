@@ -85,7 +85,8 @@ def join_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     Rules of one text (``a/`` + ``b`` and ``a`` + ``/b`` cannot differ, as hosts hold no slash) agree.
     """
     urls = df.select("host", "path").distinct()
-    names = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index(F.col("host"), ".", -i))
+    labels = F.split("host", r"\.")
+    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("_lengths"))
     under = urls.select("host", "path", F.explode(names).alias("rule_host")).join(lengths, "rule_host")
     tried = under.select("host", "path", "rule_host", F.explode("_lengths").alias("_length")).filter(
