@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm import exact, minhash, mixing, packing, phrases, pii, redirects, tokens, topk, toxicity
+from keyfold.llm import (alignment, exact, html_text, minhash, mixing, packing, periods, phrases, pii, redirects, tokens,
+                         topk, toxicity)
 from keyfold.session import new_stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +18,7 @@ ORACLE: dict[str, str] = {}
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None):
@@ -148,3 +151,38 @@ def token_files(spark, sf_dir):
 @query("op10_pack_sequences")
 def pack_sequences(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The documents, places and periods that the registered query makes periodic."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periods.collapse_runs(table(spark, sf_dir, "documents"), rewrite=repeat_tail)
+    # Structs compare field by field: the greatest length, then the smallest start and period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("l"), (-r.start).alias("s"), (-r.period).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    told = found.withColumn("_top", longest)
+    length, period = F.col("_top.l"), -F.col("_top.p")
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_top.s")).alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("1000 * _top.l div -_top.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_html_text")
+def page_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

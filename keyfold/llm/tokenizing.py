@@ -32,7 +32,7 @@ WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
 CACHE_ENTRIES = 500_000
 
 
-def _byte_letters() -> str:
+def byte_letters() -> str:
     """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1
     bytes stand for themselves, the others take the code points from 256 on in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -40,7 +40,7 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in plain else next(others)) for b in range(256))
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = byte_letters()
 _SPACE_LETTER = _BYTE_LETTERS[0x20]
 
 _ODD = "\\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
@@ -75,12 +75,14 @@ class _Cache(dict):
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes."""
+    """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes. Without ``specials`` the
+    strings of special tokens are plain text."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = not specials
         self.model = self.tokenizer.model
         stated = json.loads(tokenizer_json)
         self.specials = [t["content"] for t in stated["added_tokens"]]
