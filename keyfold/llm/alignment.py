@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.hashing import BATCH_BYTES, batches, texts_of
-from keyfold.llm.tokenizing import Encoder, byte_letters, read_tokenizer
+from keyfold.llm.tokenizing import BYTE_PATTERN, BYTE_SPLIT, Encoder, byte_letters, read_tokenizer
 from keyfold.session import write_stage
 
 SPACE = b" "
@@ -103,18 +103,33 @@ class Vocabulary:
 
 
 class ByteTokens:
-    """A byte-level tokenizer of the tokenizers library; it is given a space and the text."""
+    """A byte-level tokenizer given by a tokenizers file; it is given a space and the text.
+
+    A file whose tokens are numbered in the order of their merges, and which splits by the usual rule,
+    is run by tiktoken, whose ids are the same and which needs no cache; any other by its own library.
+    """
 
     def __init__(self, tokenizer_json: str):
-        self.encoder = Encoder(tokenizer_json, specials=False)
         stated = json.loads(tokenizer_json)
         letters = {c: b for b, c in enumerate(byte_letters())}
-        tokens = {i: bytes(letters[c] for c in t) for t, i in stated["model"]["vocab"].items() if all(c in letters for c in t)}
-        tokens |= {t["id"]: t["content"].encode() for t in stated["added_tokens"]}
+        special = {t["id"]: t["content"].encode() for t in stated["added_tokens"]}
+        tokens = {i: bytes(letters[c] for c in t) for t, i in stated["model"]["vocab"].items()
+                  if i not in special and all(c in letters for c in t)}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in stated["model"].get("merges", [])]
+        made = [stated["model"]["vocab"].get(a + b, -1) for a, b in merges]
+        if stated.get("normalizer") is None and stated.get("pre_tokenizer") == BYTE_SPLIT and made == sorted(made) and len(made) + 256 == len(tokens):
+            import tiktoken
+
+            self.run = tiktoken.Encoding("stated", pat_str=BYTE_PATTERN, special_tokens={}, mergeable_ranks={
+                t: i for i, t in tokens.items()}).encode_ordinary
+        else:
+            encoder = Encoder(tokenizer_json, specials=False)
+            self.run = lambda text: np.frombuffer(encoder.encode(text), "<u4")
+        tokens |= special
         self.vocabulary = Vocabulary([tokens.get(i, b"") for i in range(max(tokens) + 1)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(self.encoder.encode(" " + t), "<u4") for t in texts]
+        return [np.array(self.run(" " + t), np.int64) for t in texts]
 
 
 class PieceTokens:

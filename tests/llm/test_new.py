@@ -94,6 +94,16 @@ def test_alignment_of_a_hostile_table(hostile):
     assert all(r["groups_sha256"] == (hashlib.sha256(r["groups"].encode()).hexdigest() if r["groups"] else "") for r in spelled)
 
 
+def test_byte_tokens_equal_the_library():
+    side, plain, rng = alignment.ByteTokens(read_tokenizer(BYTE_TOKENIZER)), Plain(), random.Random(3)
+    assert side.run.__name__ == "encode_ordinary"
+    parts = [*"aAbzIiİıß'.,;:!?)(-_09 1²Ⅷ漢字ǅ", "\u0307", "\u200b", "\n", "\t", "\r", "  ", "\u00a0", "\u3000", "'s", "'LL", "<|endoftext|>",
+             "\x1c", "\x85", "\ufeff", "\u180e", "\U0001e900", "\u0378", "\U0001f600"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        assert side.encode([text])[0].tolist() == plain.a.encode(" " + text, add_special_tokens=False).ids, text
+
+
 def test_products_of_incidence_matrices(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(3).collect()] + ["", "\ud55c\uad6d\uc5b4 x"]
     sides = alignment.tokenizers_of(read_tokenizer(BYTE_TOKENIZER), open(PIECE_MODEL, "rb").read())
