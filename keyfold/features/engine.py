@@ -2,7 +2,7 @@
 
 Three ways give the same rows, and the tests hold them to it:
 
-``attach``                one aggregation per key set, joined back. The general way.
+``attach``                key sets tabulated as a lattice, and joined back. The general way.
 ``attach_windows``        for key sets that share a leading high-cardinality column: one shuffle on that
                           column serves all of them. Heavy values leave this path for ``attach``.
 ``attach_grouping_sets``  all counts in one pass over the rows, for key sets of few distinct values.
@@ -23,11 +23,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from keyfold.features.lattice import FIRST, LAST, ROWS, groups_of, read_set, write_sets
 from keyfold.features.spec import Feature, by_key_set
 from keyfold.session import new_stage_path, write_stage
 
@@ -37,54 +36,11 @@ MAX_GROUP_ROWS = 1_000_000
 # Key sets joined in one plan before a stage is written.
 MAX_JOINS = 20
 
-ROWS, FIRST, LAST = "_rows", "_first_", "_last_"
-
 
 def _all_present(keys: Iterable[str]) -> Column:
     return _all_of(F.col(k).isNotNull() for k in keys)
 
 
-def _measure(feature: Feature, cells: bool = False) -> Column:
-    """The aggregate expression of a feature, over rows or over cells that stand for many rows."""
-    arg = feature.arg
-    if feature.kind == "count":
-        value = F.sum(ROWS) if cells else F.count(F.lit(1))
-    elif feature.kind == "count_col":
-        value = F.coalesce(F.sum(F.when(F.col(arg).isNotNull(), F.col(ROWS))), F.lit(0)) if cells else F.count(arg)
-    elif feature.kind == "distinct":
-        value = F.count_distinct(arg)
-    elif feature.kind == "span":
-        first, last = (FIRST + arg, LAST + arg) if cells else (arg, arg)
-        value = F.datediff(F.max(last), F.min(first)).cast("bigint")
-    else:
-        if cells:
-            raise ValueError("standard deviations are not computed from cells")
-        value = F.stddev_samp(arg)
-    return value.alias(feature.name)
-
-
-def aggregate(source: DataFrame, features: Sequence[Feature], cells: bool = False) -> DataFrame:
-    """One row per key tuple. NULL tuples could never be matched, so they are not shuffled at all."""
-    keys = features[0].keys
-    return source.filter(_all_present(keys)).groupBy(*keys).agg(*[_measure(f, cells) for f in features])
-
-
-def write_groups(frames: Sequence[DataFrame]) -> list[DataFrame]:
-    """Write many aggregates in one job and read each from its own folder, so that each has a size."""
-    spark = frames[0].sparkSession
-    path = new_stage_path(spark, "groups")
-    tagged = [f.withColumn("_set", F.lit(i)) for i, f in enumerate(frames)]
-    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).write.partitionBy("_set").parquet(path)
-
-    def read(number: int, schema: StructType) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(f"{path}/_set={number}")
-        except AnalysisException:  # an aggregate without rows has no folder
-            return spark.createDataFrame([], schema)
-
-    return [read(i, f.schema) for i, f in enumerate(frames)]
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Left-join a written table of one row per key to ``rows``."""
     return null_safe_join(rows, groups, keys) if null_safe else rows.join(groups, list(keys), "left")
@@ -108,24 +64,26 @@ def attach(target: DataFrame, features: Sequence[Feature], source: DataFrame | N
            large: Sequence[str] = ("user_id",), cells: DataFrame | None = None, block: int = MAX_JOINS) -> DataFrame:
     """Left-join every feature to ``target``; aggregates are taken over ``source`` (default: target).
 
-    ``cells``, as of ``collapse_to_cells``, stands in for the source where it holds a feature's columns.
-    A stage is written after every ``block`` key sets: one plan of a hundred joins is replanned after
-    each of its stages, and compiles into methods too large for the JIT.
+    Key sets are tabulated as a lattice, see ``lattice``; ``cells``, as of ``collapse_to_cells``, stands
+    in for the source where it holds a set's columns. A stage is written after every ``block`` key sets:
+    one plan of a hundred joins is replanned after each of its stages, and compiles into methods too
+    large for the JIT.
     """
     source = target if source is None else source
     sets = _finest_first(list(by_key_set(list(features)).values()), large)
-
-    def of_cells(group: Sequence[Feature]) -> bool:
-        return cells is not None and feature_columns(group) <= set(cells.columns) and all(
-            f.kind != "stddev" for f in group)
-
-    groups = write_groups([aggregate(cells if of_cells(g) else source, g, of_cells(g)) for g in sets])
+    merged = [f for f in features if f.kind != "stddev"]
+    tables = groups_of(source, merged, cells) if merged else {}
+    spread = [f for f in features if f.kind == "stddev"]
     out = target
-    for number, (group, table) in enumerate(zip(sets, groups, strict=True)):
+    for number, group in enumerate(sets):
         if number and number % block == 0:
             out = write_stage(out, "block")
-        out = join_groups(out, table, group[0].keys)
-    return out.select(*target.columns, *[_filled(f) for f in features])
+        keys = frozenset(group[0].keys)
+        if keys in tables:
+            out = join_groups(out, tables[keys], sorted(keys))
+    out = out.select(*target.columns, *[_filled(f) for f in merged])
+    return (attach_stddev(out, spread, source=source) if spread else out).select(
+        *target.columns, *[f.name for f in features])
 
 
 def feature_columns(features: Iterable[Feature]) -> set[str]:
@@ -254,7 +212,7 @@ def attach_grouping_sets(df: DataFrame, features: Sequence[Feature]) -> DataFram
     grouped = write_stage(
         df.groupingSets(sets, *[F.col(c) for c in columns])
         .agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias(ROWS)), "grouping_sets")
-    tables = write_groups([
+    tables = write_sets([
         grouped.filter((F.col("_set") == set_id) & _all_present(f.keys)).select(*f.keys, F.col(ROWS).alias(f.name))
         for f, set_id in zip(features, ids, strict=True)])
     out = df
@@ -263,20 +221,37 @@ def attach_grouping_sets(df: DataFrame, features: Sequence[Feature]) -> DataFram
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 
-def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False) -> DataFrame:
+def attach_stddev(df: DataFrame, features: Sequence[Feature], rounded: bool = False,
+                  source: DataFrame | None = None) -> DataFrame:
     """Standard deviation per partition, in which rows with a NULL key form a partition of their own.
 
-    The window form would put a whole region into one task; partial aggregation and a null-safe
-    join give the same values. ``rounded`` partitions numeric keys by the nearest whole number.
+    The window form would put a whole region into one task. Here all partitions of all keys are
+    aggregated in one pass over the rows (count, mean and squared deviations merge map-side), and a
+    null-safe join gives the values of the window. ``rounded`` partitions numeric keys by the nearest
+    whole number. ``source`` are the rows to aggregate, if others.
     """
+    source = df if source is None else source
     sets = _finest_first(list(by_key_set(list(features)).values()), ("user_id",))
-    part = {g[0].keys[0]: whole_number(g[0].keys[0]) if rounded else F.col(g[0].keys[0]) for g in sets}
-    tables = write_groups([df.groupBy(part[g[0].keys[0]].alias(f"_part_{i}")).agg(
-        *[F.stddev_samp(f.arg).alias(f.name) for f in g]) for i, g in enumerate(sets)])
+    wrong = [g[0].keys for g in sets if len(g[0].keys) > 1]
+    if wrong:
+        raise ValueError(f"a partition has one key, not {wrong}")
+    part = [(whole_number(g[0].keys[0]) if rounded else F.col(g[0].keys[0])).alias(f"_part_{i}") for i, g in enumerate(sets)]
+    values = sorted({f.arg for f in features})
+    keyed = source.select(*part, *[F.col(v).alias(f"_value_{v}") for v in values])
+    names = [f"_part_{i}" for i in range(len(sets))]
+    # Bit i of the grouping id is set when the i-th column from the right is rolled up.
+    whole = (1 << len(names)) - 1
+    grouped = keyed.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
+        F.grouping_id().alias("_id"), *[F.stddev_samp(f"_value_{v}").alias(f"_std_{v}") for v in values])
+    ids = F.create_map(*[F.lit(x) for i in range(len(names)) for x in (whole - (1 << len(names) - 1 - i), i)])
+    path = new_stage_path(source.sparkSession, "moments")
+    grouped.withColumn("_set", ids[F.col("_id")].cast("int")).drop("_id").write.partitionBy("_set").parquet(path)
+    schema = grouped.drop("_id").schema
     out = df
-    for i, (group, stats) in enumerate(zip(sets, tables, strict=True)):
-        at = f"_part_{i}"
-        out = join_groups(out.withColumn(at, part[group[0].keys[0]]), stats, [at], null_safe=True).drop(at)
+    for i, (group, at) in enumerate(zip(sets, names, strict=True)):
+        stats = read_set(source.sparkSession, path, i, schema).select(at, *[F.col(f"_std_{f.arg}").alias(f.name) for f in group])
+        out = join_groups(out.withColumn(at, whole_number(group[0].keys[0]) if rounded else F.col(group[0].keys[0])),
+                          stats, [at], null_safe=True).drop(at)
     return out.select(*df.columns, *[_filled(f) for f in features])
 
 

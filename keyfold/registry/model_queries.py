@@ -158,13 +158,17 @@ def model_inputs_query(spark, sf_dir):
     return df.select(*[r6(c) if c in ("price", *_BY_KEY, *_BY_USER) else F.col(c) for c in df.columns])
 
 
+# The registered queries boost few shallow trees: the given labels do not depend on the features.
+QUERY_PARAMS = crossfit.BoostingParams(rounds=4, patience=2, depth=3, bins=32, step=0.3)
+
+
 def fitted(spark, sf_dir):
     """Cross-fitting on all built features, once for the queries that look at it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FITTED:
         df = model_inputs(spark, sf_dir)
         predictors = [c for c in df.columns if c not in ("item_id", "user_id", rows.LABEL)]
-        _FITTED[key] = crossfit.cross_fit(rows.labelled(df), rows.unlabelled(df), predictors, categorical=_CATEGORIES)
+        _FITTED[key] = crossfit.cross_fit(rows.labelled(df), rows.unlabelled(df), predictors, categorical=_CATEGORIES, params=QUERY_PARAMS)
     return _FITTED[key]
 
 
@@ -174,8 +178,8 @@ _KEPT = f"CAST('0x' || substr(md5(item_id), 1, 6) AS INTEGER) % {_ELIMINATE} <>
 
 @query("crossfit_gbt", with_items(
     "SELECT item_id, deal_probability AS label, deal_probability IS NOT NULL AS is_oof, true AS in_range, CASE WHEN "
-    "deal_probability IS NOT NULL THEN CAST(CAST('0x' || substr(md5(item_id || ':7'), 1, 8) AS BIGINT) % "
-    f"{FOLDS} AS INTEGER) END AS fold FROM items WHERE {_KEPT}"))
+    "deal_probability IS NOT NULL THEN CAST((row_number() OVER (PARTITION BY deal_probability IS NULL ORDER BY "
+    f"md5(item_id || ':7'), item_id) - 1) % {FOLDS} AS INTEGER) END AS fold FROM items WHERE {_KEPT}"))
 def crossfit_gbt(spark, sf_dir):
     """One out-of-fold prediction per labelled row and one averaged one for the others. The numbers are
     the model's own; what can be checked of them is their ids, folds, labels and, clipped, their range."""
@@ -198,3 +202,49 @@ def crossfit_error(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     """The two hundred most important of about three hundred features."""
     return crossfit.top_importance(fitted(spark, sf_dir).importance, 200)
+
+
+@query("equal_folds", with_items(
+    "SELECT item_id, CAST((row_number() OVER (ORDER BY md5(item_id || ':42'), item_id) - 1) "
+    f"% {FOLDS} AS INTEGER) AS fold FROM items WHERE deal_probability IS NOT NULL"))
+def equal_folds(spark, sf_dir):
+    return ensemble.equal_folds(rows.labelled(item_stage(spark, sf_dir)), "item_id", FOLDS, 42)
+
+
+_LEVELS = ["city", "user_type"]
+
+
+@query("level_means", with_items(
+    "SELECT l.\"column\", f.seed, f.fold, l.code, round(avg(l.label), 6) AS mean FROM lv l JOIN (SELECT DISTINCT seed, fold FROM lv) f "
+    "ON l.seed = f.seed AND l.fold <> f.fold GROUP BY ALL",
+    f""",
+coded AS (SELECT deal_probability AS label, {', '.join(f"dense_rank() OVER (ORDER BY coalesce({c}, '')) - 1 AS {c}" for c in _LEVELS)},
+  CAST((row_number() OVER (ORDER BY md5(item_id || ':7'), item_id) - 1) % {FOLDS} AS INTEGER) AS fold
+  FROM items WHERE deal_probability IS NOT NULL),
+lv AS ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", 7 AS seed, fold, {c} AS code, label FROM coded" for c in _LEVELS)})"""))
+def level_means(spark, sf_dir):
+    """Mean labels of two categories' codes over the other folds, for each fold."""
+    df = label_encode(rows.labelled(item_stage(spark, sf_dir)).select(
+        "item_id", F.col(rows.LABEL).alias("label"), *[F.coalesce(c, F.lit("")).alias(c) for c in _LEVELS]), _LEVELS)
+    folded = df.join(ensemble.equal_folds(df, "item_id", FOLDS, 7), "item_id").withColumn(
+        "folds", F.array(F.struct(F.lit(7).alias("seed"), "fold")))
+    return crossfit.level_means(folded, _LEVELS).withColumn("mean", r6("mean"))
+
+
+_SEED_PREDICTORS = ["price", "image_top_1", "city", "user_type"]
+
+
+@query("crossfit_seeds", with_items(
+    "SELECT item_id, CAST((row_number() OVER (PARTITION BY seed ORDER BY md5(item_id || ':' || seed), item_id) - 1) "
+    f"% {FOLDS} AS INTEGER) AS fold, seed, deal_probability AS label, true AS has_prediction FROM items, "
+    f"(VALUES {', '.join(f'({s})' for s in SEEDS)}) s(seed) WHERE deal_probability IS NOT NULL"))
+def crossfit_seeds(spark, sf_dir):
+    """Four seeds of four folds, fitted side by side on one table of vectors. What can be checked of
+    the predictions is whose they are."""
+    df = label_encode(item_stage(spark, sf_dir).select(
+        "item_id", rows.LABEL, *[F.coalesce(c, F.lit(_NO_NUMBER)).alias(c) for c in _SEED_PREDICTORS[:2]],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in _SEED_PREDICTORS[2:]]), _SEED_PREDICTORS[2:])
+    df = write_stage(df, "seed_inputs")
+    found = crossfit.cross_fit(rows.labelled(df), rows.unlabelled(df), _SEED_PREDICTORS, seeds=SEEDS, categorical=_SEED_PREDICTORS[2:],
+                               params=QUERY_PARAMS)
+    return found.oof.select("item_id", "fold", "seed", "label", F.col("prediction").isNotNull().alias("has_prediction"))

@@ -10,11 +10,11 @@ from pyspark.sql.types import StructType
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, line_breaks: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, line_breaks: bool = True) -> DataFrame:
     """CSV under a stated schema. ``path`` may be a pattern, so shards are read as one table; gzip
-    files are decoded by their name. A gzip file is one task's work, so spread the rows afterwards
-    (``repartition``) if the next step needs it. ``line_breaks`` says that quoted fields may hold line
-    breaks, which makes every file one task's work, packed or not."""
+    files are decoded by their name. Quoted fields may hold line breaks, for which every file is one
+    task's work, as a gzip file is anyway; without ``line_breaks``, which asserts that no field holds
+    one, plain files are split."""
     return spark.read.options(**_CSV, multiLine=str(line_breaks).lower()).schema(schema).csv(path)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from keyfold.features.engine import (attach, attach_all, attach_grouping_sets, attach_stddev, attach_through_cells,
                                       attach_windows, null_safe_join, whole_number)
-from keyfold.features import catalog
+from keyfold.features import catalog, lattice
+from keyfold.features.lattice import layers_of, needed_sets
 from keyfold.features.spec import Feature
 from keyfold.session import write_stage
 from keyfold.sources.items import items as base_items
@@ -74,6 +75,44 @@ def test_attach(frame, rows, block):
     check(attach(frame, COUNTS + OTHERS, large=("user",), block=block), rows, COUNTS + OTHERS)
 
 
+def test_only_top_sets_read_the_rows(frame, rows):
+    """Pairs come from triples and singles from pairs; one scan serves all top sets."""
+    features = [Feature("n3", ("user", "city", "param"), fill=0), Feature("n2", ("city", "param"), fill=0), Feature("n1", ("city",), fill=0),
+                Feature("uq", ("user", "city"), "distinct", "param", fill=0), Feature("uq1", ("city",), "distinct", "price", fill=0),
+                Feature("span", ("param",), "span", "d", fill=0), Feature("own", ("price",), "distinct", "price", fill=0)]
+    layers = layers_of(needed_sets(features))
+    assert [sorted(map(sorted, layer)) for layer in layers] == [
+        [["city", "param", "user"], ["city", "price"]], [["city", "param"], ["city", "user"], ["price"]], [["city"], ["param"]]]
+    scans = []
+    found = lattice._in_one_pass(frame, {s: i for i, s in enumerate(layers[0])}, [F.count(F.lit(1)).alias("n")])
+    scans.append(found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+    assert scans == [1]
+    check(attach(frame, features), rows, features)
+
+
+@pytest.mark.parametrize("catalogue,tops", [(catalog.STAGE5, 3), (catalog.PART2 + catalog.PART3, 5), (catalog.BASE, 9)])
+def test_catalogue_reads_rows_for_top_sets_only(catalogue, tops):
+    sets = needed_sets(catalogue)
+    first = layers_of(sets)[0]
+    assert max(map(len, first)) == tops and len(layers_of(sets)) <= lattice.LAYERS + 1
+    assert all(not any(s < t for t in sets) for s in first) and len(first) < len(sets)
+
+
+def test_moments_of_many_partitions_in_one_pass(spark, rows):
+    df = spark.createDataFrame([(r[0], r[1], r[2], r[4], float(r[0] % 7)) for r in rows] + [(999, "alone", None, 3.0, None)],
+                               "id int, user string, city string, price double, other double")
+    features = [Feature(f"s_{v}_{k}", (k,), "stddev", v) for k in ("user", "city", "price") for v in ("price", "other")]
+    got = {r["id"]: r for r in attach_stddev(df, features).collect()}
+    data = [tuple(r) for r in df.collect()]
+    at = {c: i for i, c in enumerate(df.columns)}
+    for f in features:
+        key, value = at[f.keys[0]], at[f.arg]
+        for row in data:
+            group = [r[value] for r in data if r[key] == row[key] and r[value] is not None]
+            want = statistics.stdev(group) if len(group) > 1 else None
+            assert got[row[0]][f.name] == (want if want is None else pytest.approx(want, abs=1e-9)), (f.name, row)
+
+
 def test_attach_through_cells(frame, rows):
     check(attach_through_cells(frame, COUNTS + OTHERS), rows, COUNTS + OTHERS)
 

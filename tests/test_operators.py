@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyfold.operators import encode, enrich, ensemble, profile, rows
-from keyfold.operators.crossfit import BoostingParams, cross_fit, top_importance
+from keyfold.operators.crossfit import BoostingParams, assemble, boost, cross_fit, rounds_kept, top_importance
+from keyfold.session import write_stage
 from keyfold.operators.ranking import with_rank
 from keyfold.plans import stages
 from keyfold.sources.files import read_csv, read_vectors, write_csv, write_vectors
@@ -113,13 +114,48 @@ def test_vector_text(spark, tmp_path):
     assert read_vectors(spark, str(tmp_path / "out")).first()["vector"] == [0.25, -3.0]
 
 
+def test_patience_outlasts_a_stall():
+    stalls_then_falls = [5.0, 4.0, 4.0, 4.1, 4.0, 3.0, 3.5, 3.5, 3.5, 3.5]
+    assert rounds_kept(stalls_then_falls, 4) == (6, True)
+    assert rounds_kept(stalls_then_falls, 3) == (2, True)
+    assert rounds_kept(stalls_then_falls, 30) == (6, False)
+
+
+def test_boosting_is_cut_at_the_best_round(spark):
+    df = spark.range(400).select(((F.col("id") * 7919) % 97 / 97.0).alias("x"), (F.col("id") % 3).cast("double").alias("z"),
+                                 (F.col("id") % 4 == 0).alias("held"))
+    df = assemble(df.withColumn("label", F.when(F.col("x") > 0.5, 1.0).otherwise(0.0) + F.col("z") * 0.3), ["x", "z"], ["label", "held"], {})
+    df = write_stage(df, "boost")
+    params = BoostingParams(rounds=6, patience=2, depth=2, min_leaf_rows=5, column_share=1.0, row_share=1.0, step=0.3)
+    model, losses = boost(df.filter("NOT held"), df.filter("held"), params, 7)
+    best, _ = rounds_kept(losses, 2)
+    assert len(model.trees) == best and best > 1
+    shown = model.transform(df.filter("held")).agg(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2)))).first()[0]
+    assert abs(shown - min(losses[:best])) < 1e-9
+
+
+def test_cross_fit_with_seeds_and_ordered_levels(spark):
+    """The label follows the level of a category with more codes than bins, in no order of the codes."""
+    df = spark.range(900).select(
+        F.col("id").cast("string").alias("item_id"), ((F.col("id") * 7919) % 40).cast("int").alias("level"), (F.col("id") % 5).cast("double").alias("noise"),
+        F.when(F.col("id") < 800, F.pmod(F.hash((F.col("id") * 7919) % 40), F.lit(10)) / 10).alias("deal_probability"))
+    result = cross_fit(rows.labelled(df), rows.unlabelled(df), ["level", "noise"], seeds=(1, 2), folds=2, categorical=["level"],
+                       params=BoostingParams(rounds=3, patience=2, depth=3, min_leaf_rows=5, bins=16, column_share=1.0))
+    oof = result.oof.collect()
+    assert len(oof) == 1600 and {(r["seed"], r["fold"]) for r in oof} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    assert all(sum(r["seed"] == s and r["fold"] == f for r in oof) == 400 for s in (1, 2) for f in (0, 1))
+    assert result.oof.agg(ensemble.rmse().alias("e")).first()["e"] < 0.12 and result.predictions.count() == 100
+    best = ensemble.best_round(result.history, ["seed", "fold"]).collect()
+    assert len(best) == 4 and all(r["best_round"] >= 1 for r in best)
+
+
 def test_cross_fit_covers_each_labelled_id_once(spark):
     df = spark.range(600).select(
         F.col("id").cast("string").alias("item_id"), (F.col("id") % 10).cast("double").alias("x"),
         (F.col("id") % 7).cast("double").alias("noise"),
         F.when(F.col("id") < 500, (F.col("id") % 10) / 10).alias("deal_probability"))
     result = cross_fit(rows.labelled(df), rows.unlabelled(df), ["x", "noise"],
-                       params=BoostingParams(rounds=5, depth=3, min_leaf_rows=5, column_share=1.0))
+                       params=BoostingParams(rounds=5, patience=5, depth=3, min_leaf_rows=5, column_share=1.0))
     oof = result.oof.collect()
     assert len(oof) == 500 and len({r["item_id"] for r in oof}) == 500 and {r["fold"] for r in oof} == {0, 1, 2, 3}
     assert result.predictions.count() == 100
