@@ -29,7 +29,7 @@ WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
 
 # Entries of a cache generation. A full generation is kept until the next one is full, so words that
 # keep coming stay, and memory is bounded by two generations.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_letters() -> str:
@@ -57,9 +57,9 @@ class _Unsafe(Exception):
 class _Cache(dict):
     """Chunk (without its leading space) to the bytes of its ids."""
 
-    def __init__(self, encode, checked: bool):
+    def __init__(self, encode, checked: bool, entries: int):
         super().__init__()
-        self.encode, self.checked, self.older = encode, checked, {}
+        self.encode, self.checked, self.entries, self.older = encode, checked, entries, {}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
@@ -67,7 +67,7 @@ class _Cache(dict):
             if not chunk.isalpha() and self.checked and _ENDS_ODD.search(chunk):
                 raise _Unsafe  # the break after this chunk may lie inside a run of white space
             found = self.encode(chunk, self)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.older = dict(self)
             self.clear()
         self[chunk] = found
@@ -78,7 +78,7 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes. Without ``specials`` the
     strings of special tokens are plain text."""
 
-    def __init__(self, tokenizer_json: str, specials: bool = True):
+    def __init__(self, tokenizer_json: str, specials: bool = True, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -92,7 +92,7 @@ class Encoder:
         self.known = self.known and all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<")
                                         for t in stated["added_tokens"])
         self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
-        self.quick, self.whole = _Cache(self._spaced, True), _Cache(self._spaced, False)
+        self.quick, self.whole = (_Cache(self._spaced, checked, entries) for checked in (True, False))
         self.tails = {c: self._direct(c) for c in ".,;:!?)"}
 
     def _direct(self, text: str) -> bytes:
@@ -153,9 +153,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(tokenizer_json: str) -> Encoder:
+def encoder_of(tokenizer_json: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """One encoder per worker process, so that its cache outlives a task."""
-    return Encoder(tokenizer_json)
+    return Encoder(tokenizer_json, entries=entries)
 
 
 def read_tokenizer(path: str) -> str:

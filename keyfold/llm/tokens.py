@@ -6,7 +6,7 @@ the Bloom filters, and reads stripes in parallel. Each row keeps its place in it
 place in the whole is known from one number per file.
 
 Cases: a null or empty text has only its end token; repeated rows are written each for itself; an
-empty table writes no rows. A null document id sorts first.
+empty table writes no rows. A null document id sorts first. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from keyfold.llm.tokenizing import encoder_of, read_tokenizer
 END_TOKEN = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
+# Words that a worker keeps the ids of; see ``tokenizing``.
+CACHE_ENTRIES = 500_000
 _COLUMNS = "doc_id long, part int, local_start long, ids array<int>"
 
 
@@ -39,7 +41,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_token: int = END_TOK
     end = end_token.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(tokenizer, CACHE_ENTRIES), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 chunks = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]
