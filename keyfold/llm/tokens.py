@@ -26,8 +26,8 @@ END_TOKEN = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
 # Words that a worker keeps the ids of; see ``tokenizing``.
-CACHE_ENTRIES = 500_000
-_COLUMNS = "doc_id long, part int, local_start long, ids array<int>"
+CACHE_ENTRIES = 800_000
+_COLUMNS = "doc_id long, part int, local_start long, n_ids int, ids array<int>"
 
 
 def _ints(chunks: list[bytes]) -> pa.ListArray:
@@ -36,7 +36,7 @@ def _ints(chunks: list[bytes]) -> pa.ListArray:
 
 
 def encode_sorted(docs: DataFrame, tokenizer_path: str, end_token: int = END_TOKEN) -> DataFrame:
-    """``(doc_id, part, local_start, ids)`` in ranges of ascending id; ids end with ``end_token``."""
+    """``(doc_id, part, local_start, n_ids, ids)`` in ranges of ascending id; ids end with ``end_token``."""
     tokenizer = read_tokenizer(tokenizer_path)
     end = end_token.to_bytes(4, "little")
 
@@ -50,8 +50,8 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, end_token: int = END_TOK
                 at += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(np.full(len(chunks), part, np.int32)),
-                     pa.array(starts.astype(np.int64)), _ints(chunks)],
-                    names=["doc_id", "part", "local_start", "ids"])
+                     pa.array(starts.astype(np.int64)), pa.array(sizes.astype(np.int32)), _ints(chunks)],
+                    names=["doc_id", "part", "local_start", "n_ids", "ids"])
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     return ranged.sortWithinPartitions("doc_id").mapInArrow(run, _COLUMNS)
@@ -65,13 +65,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_token
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, part, local_start, ids)``. Filters on ``doc_id`` are pushed into the scan."""
+    """``(doc_id, part, local_start, n_ids, ids)``. Filters on ``doc_id`` are pushed into the scan."""
     return spark.read.schema(_COLUMNS).orc(path)
 
 
 def token_starts(files: DataFrame) -> DataFrame:
     """``(part, part_start)``: ids in all files before each; one row per file, so small."""
-    sizes = files.groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("_ids"))
+    sizes = files.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_ids")).alias("_ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("part_start"))
 
@@ -89,6 +89,6 @@ def token_digest(files: DataFrame) -> DataFrame:
                  pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
                 names=["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    told = files.mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    told = files.select("doc_id", "part", "local_start", "ids").mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     joined = told.join(F.broadcast(token_starts(files)), "part")
     return joined.select("doc_id", (F.col("local_start") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
