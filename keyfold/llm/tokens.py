@@ -26,7 +26,7 @@ END_TOKEN = 2
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
 # Words that a worker keeps the ids of; see ``tokenizing``.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 650_000
 _COLUMNS = "doc_id long, part int, local_start long, n_ids int, ids array<int>"
 
 
