@@ -2,6 +2,10 @@
 
 Toxic documents go, exact copies go, one document of each near-duplicate group stays, sources are
 mixed to their target weights, and what the mix takes is packed into windows of tokens.
+
+Cases, as of the operators: a null text counts as empty and holds no words; rows without an id, and rows
+of one id, are judged each for itself, but for near-duplicates, where all rows of an id go if one is not to
+stay; texts are read whole; other columns are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
