@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
+from keyfold.operators import tokens as K
 from keyfold.operators import vocabulary as V
 from keyfold.registry.base import query, r6, spread, staged_once
 from keyfold.session import new_stage_path, write_stage
@@ -45,25 +46,41 @@ _SEQUENCES = (
 
 
 def cleaned(spark, sf_dir):
-    """Documents with cleaned text, written once: vocabulary, sequences and rates all read it."""
+    """Documents with cleaned text, written once."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return staged_once("cleaned", sf_dir, spark, lambda: spread(documents, "doc_id").select(
         "doc_id", "lang", T.clean("text").alias("clean")))
 
 
+def split(spark, sf_dir):
+    """The words of all documents, split once: dictionary and coded tokens read them."""
+    return staged_once("split", sf_dir, spark, lambda: K.split_texts(cleaned(spark, sf_dir), "clean", "doc_id"))
+
+
+def dictionary(spark, sf_dir):
+    return staged_once("dictionary", sf_dir, spark, lambda: K.word_dictionary(split(spark, sf_dir), "doc_id"))
+
+
 def vocabulary(spark, sf_dir):
     """Saved once, and read by all that need word numbers."""
-    return staged_once("vocabulary", sf_dir, spark, lambda: V.vocabulary(
-        cleaned(spark, sf_dir), "clean", "doc_id", T.VOCABULARY_CAP))
+    return staged_once("vocabulary", sf_dir, spark, lambda: K.vocabulary_of(
+        dictionary(spark, sf_dir), T.VOCABULARY_CAP))
+
+
+def coded(spark, sf_dir):
+    """Documents as word numbers: sequences and rates are read off them."""
+    codes = staged_once("codes", sf_dir, spark, lambda: K.word_codes(
+        dictionary(spark, sf_dir), vocabulary(spark, sf_dir)))
+    return staged_once("coded", sf_dir, spark, lambda: K.coded_tokens(split(spark, sf_dir), codes, "doc_id"))
 
 
 def sequences(spark, sf_dir):
-    return V.text_to_sequence(cleaned(spark, sf_dir), "clean", "doc_id", vocabulary(spark, sf_dir))
+    return coded(spark, sf_dir).select("doc_id", "sequence")
 
 
 def document_words(spark, sf_dir):
-    return staged_once("words", sf_dir, spark, lambda: cleaned(spark, sf_dir).select(
-        F.explode(T.vocabulary_words("clean")).alias("word")).distinct())
+    return staged_once("words", sf_dir, spark, lambda: dictionary(spark, sf_dir).select(
+        F.explode(T.vocabulary_words("word")).alias("word")).distinct())
 
 
 def vector_words(spark, sf_dir, table):
@@ -93,7 +110,7 @@ def stopword_remove(spark, sf_dir):
 @query("word_count", f"WITH {_CLEANED}, {_RAW} SELECT word, count(*) AS n FROM "
                      "(SELECT unnest(ws) AS word FROM raw) GROUP BY word")
 def word_count(spark, sf_dir):
-    return V.word_counts(cleaned(spark, sf_dir), "clean")
+    return dictionary(spark, sf_dir).select("word", "n")
 
 
 @query("vocab_topn", f"{_TEXT_CTES} SELECT word, idx, n FROM vocab")
@@ -123,8 +140,8 @@ def new_words(spark, sf_dir):
        "(SELECT doc_id, unnest(ws) AS word FROM raw) WHERE word IN (SELECT word FROM fresh) GROUP BY doc_id) c "
        "ON r.doc_id = c.doc_id")
 def oov_rate(spark, sf_dir):
-    rates = V.new_word_rate(cleaned(spark, sf_dir), "clean", "doc_id",
-                            write_stage(fresh_words(spark, sf_dir), "new_words"))
+    fresh = vocabulary(spark, sf_dir).join(fresh_words(spark, sf_dir), "word").select("idx")
+    rates = K.marked_rate(coded(spark, sf_dir), "doc_id", write_stage(fresh, "new_words"))
     return rates.select("doc_id", F.round("uq_rate", 6).alias("uq_rate"))
 
 

@@ -4,7 +4,9 @@ from collections import Counter
 import pytest
 
 from keyfold.functions import text as T
+from keyfold.operators import tokens as K
 from keyfold.operators import vocabulary as V
+from keyfold.session import write_stage
 
 TEXTS = [
     (1, "Red  Car, red wheels!"), (2, "blue car\x1c«new»"), (3, ""), (4, None), (5, "!@#$"),
@@ -108,3 +110,47 @@ def test_random_vectors_are_normal(spark):
     drawn = V.attach_vectors(vocab, none, 20, 2.0, 0.5)
     s = V.vector_stats(drawn, 20).first()
     assert s["mean"] == pytest.approx(2.0, abs=0.05) and s["std"] == pytest.approx(0.5, abs=0.05)
+
+
+@pytest.mark.parametrize("cap", [4, 100])
+def test_coded_tokens_equal_the_plain_path(spark, cleaned, cap):
+    """Words with several, repeated, foreign and no vocabulary words inside; a repeated id; no text."""
+    extra = spark.createDataFrame(
+        [(20, "car-car,red a-b-a -- !!"), (20, "wheels"), (21, "red's reds red"), (None, "car the")], "id int, text string")
+    texts = cleaned.unionByName(extra.select("id", T.clean("text").alias("text")))
+    split = write_stage(K.split_texts(texts, "text", "id"), "split")
+    dictionary = write_stage(K.word_dictionary(split, "id"), "dictionary")
+    assert {r["word"]: r["n"] for r in dictionary.collect()} == {
+        r["word"]: r["n"] for r in V.word_counts(texts, "text").collect()}
+    vocab = write_stage(K.vocabulary_of(dictionary, cap), "vocabulary")
+    assert sorted(map(tuple, vocab.collect())) == sorted(map(tuple, V.vocabulary(texts, "text", "id", cap).collect()))
+
+    once = texts.filter("id <> 20 OR text <> 'wheels'")
+    split = K.split_texts(once, "text", "id")
+    coded = write_stage(K.coded_tokens(split, write_stage(K.word_codes(dictionary, vocab), "codes"), "id"), "coded")
+    plain = V.text_to_sequence(once, "text", "id", vocab)
+    assert {r["id"]: r["sequence"] for r in coded.collect()} == {r["id"]: r["sequence"] for r in plain.collect()}
+    new = vocab.filter("idx % 2 = 1")
+    plain = V.new_word_rate(once, "text", "id", new)
+    marked = K.marked_rate(coded, "id", new.select("idx"))
+    assert {r["id"]: r["uq_rate"] for r in marked.collect()} == {r["id"]: r["uq_rate"] for r in plain.collect()}
+
+
+def test_coded_tokens_of_no_texts(spark):
+    none = spark.createDataFrame([], "id int, text string")
+    split = K.split_texts(none, "text", "id")
+    dictionary = K.word_dictionary(split, "id")
+    vocab = K.vocabulary_of(dictionary, 10)
+    coded = K.coded_tokens(split, K.word_codes(dictionary, vocab), "id")
+    assert coded.count() == vocab.count() == K.marked_rate(coded, "id", vocab).count() == 0
+
+
+def test_sequences_and_rates_need_no_word(spark, cleaned):
+    """Only the coding joins on words; what reads the coded table has no strings in its plan's output."""
+    split = write_stage(K.split_texts(cleaned, "text", "id"), "split")
+    dictionary = write_stage(K.word_dictionary(split, "id"), "dictionary")
+    vocab = write_stage(K.vocabulary_of(dictionary, 100), "vocabulary")
+    coded = write_stage(K.coded_tokens(split, K.word_codes(dictionary, vocab), "id"), "coded")
+    plan = coded.select("id", "sequence")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "words" not in plan
+    assert "string" not in {f.dataType.simpleString() for f in coded.schema}
