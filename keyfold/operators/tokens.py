@@ -1,9 +1,9 @@
 """Coded tokens: texts are split once, and words become vocabulary numbers by one join.
 
-The chain is ``split_texts`` -> ``word_dictionary`` -> ``vocabulary_of`` -> ``word_codes`` ->
-``coded_tokens``. Each result but the vocabulary's input is meant to be written (``write_stage``)
-before the next one reads it. What counts words then works on the dictionary, which has one row per
-distinct word, and sequences and rates are read off the coded table without another look at a word.
+The chain is ``split_texts`` -> ``word_dictionary`` -> ``vocabulary_of`` -> ``coded_tokens``, and each
+result is meant to be written (``write_stage``) before the next one reads it. What counts words then
+works on the dictionary, which has one row per distinct word, and sequences and rates are read off the
+coded table without another look at a word.
 
 Texts must be cleaned (``functions.text.clean``): their words are parted by single blanks, so that the
 vocabulary words of a text are those of its words, one after the other.
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from keyfold.functions import text as T
 from keyfold.operators.ranking import with_rank
 
+# A row's order as a decimal, and that with ten digits for the place in the text.
+_ORDER, _FIRST = "decimal(20,0)", "decimal(31,0)"
+
 
 def split_texts(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """``(id, words)``: the white-space separated words of each cleaned text, in order."""
@@ -24,11 +27,16 @@ def split_texts(df: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def word_dictionary(split: DataFrame, order: str) -> DataFrame:
-    """``(word, n, first)``: each distinct word with its count and where, by ``order``, it is met first."""
-    met = split.select(F.col(order).alias("_order"), F.posexplode("words").alias("_at", "word"))
+    """``(word, n, first)``: each distinct word with its count and where it is met first.
+
+    ``first`` joins the integer column ``order`` and the place in the text into one decimal number, a
+    type that can be aggregated by hash where a struct needs all tokens sorted. Null is lowest.
+    """
+    row = F.coalesce(F.col(order).cast(_ORDER), F.lit(str(-10 ** 19)).cast(_ORDER))
+    begin = (row * F.lit(str(10 ** 10)).cast("decimal(11,0)")).cast(_FIRST)
+    met = split.select(begin.alias("_begin"), F.posexplode("words").alias("_at", "word"))
     return met.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.col("_order").alias("order"), F.col("_at").alias("at"))).alias("first"))
+        F.count(F.lit(1)).alias("n"), F.min((F.col("_begin") + F.col("_at")).cast(_FIRST)).alias("first"))
 
 
 def vocabulary_of(dictionary: DataFrame, cap: int) -> DataFrame:
@@ -39,39 +47,31 @@ def vocabulary_of(dictionary: DataFrame, cap: int) -> DataFrame:
     limit = min(cap, dictionary.count())
     parts = dictionary.select("n", "first", F.posexplode(T.vocabulary_words("word")).alias("_part", "word"))
     counted = parts.groupBy("word").agg(
-        F.sum("n").alias("n"), F.min(F.struct("first.order", "first.at", "_part")).alias("_first"))
+        F.sum("n").alias("n"), F.min(F.struct("first", "_part")).alias("_first"))
     ranked = with_rank(counted, [F.desc("n"), F.asc("_first")], "_rank")
     return ranked.filter(F.col("_rank") + 1 < limit).select(
         "word", (F.col("_rank") + 1).cast("int").alias("idx"), "n")
 
 
-def word_codes(dictionary: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(word, own, inside)`` of the words that hold vocabulary words.
-
-    ``own`` is the index of the word itself, 0 if the vocabulary lacks it; ``inside`` has the indexes
-    of the vocabulary words in it, in order.
-    """
-    parts = dictionary.select("word", F.posexplode(T.vocabulary_words("word")).alias("_part", "part"))
-    found = parts.join(vocab.select(F.col("word").alias("part"), "idx"), "part")
-    pairs = F.array_sort(F.collect_list(F.struct("_part", "idx")))
-    return found.groupBy("word").agg(
-        F.coalesce(F.max(F.when(F.col("part") == F.col("word"), F.col("idx"))), F.lit(0)).alias("own"),
-        F.transform(pairs, lambda p: p["idx"]).alias("inside"))
-
-
-def coded_tokens(split: DataFrame, codes: DataFrame, id_col: str) -> DataFrame:
+def coded_tokens(split: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """``(id, words, sequence)``: each word's own index, and the indexes of all vocabulary words in order.
 
-    The one join on words. ``codes`` should be a written table: Spark broadcasts it if its size
-    allows, and splits the partitions of very frequent words if not.
+    A word that is not itself in the vocabulary has 0. This is the one join on words. ``vocab`` should
+    be a written table: Spark broadcasts it if its size allows, and splits the partitions of very
+    frequent words if not.
     """
-    placed = split.select(id_col, F.posexplode_outer("words").alias("_at", "word"))
-    coded = F.struct("_at", F.coalesce("own", F.lit(0)).alias("own"), "inside")
-    found = placed.join(codes, "word", "left").groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), coded))).alias("_tokens"))
-    inside = F.filter(F.transform("_tokens", lambda t: t["inside"]), lambda x: x.isNotNull())
-    return found.select(
-        id_col, F.transform("_tokens", lambda t: t["own"]).alias("words"), F.flatten(inside).alias("sequence"))
+    placed = split.select(id_col, F.posexplode_outer("words").alias("_at", "_word"))
+    parts = placed.select("*", F.posexplode_outer(T.vocabulary_words("_word")).alias("_part", "word"))
+    found = parts.join(vocab.select("word", "idx"), "word", "left")
+    own = F.when(F.col("word") == F.col("_word"), F.col("idx"))
+    token = F.struct("_at", F.coalesce("_part", F.lit(0)).alias("_part"),
+                     F.coalesce(own, F.lit(0)).alias("own"), "idx")
+    grouped = found.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), token))).alias("_tokens"))
+    first_parts = F.filter("_tokens", lambda t: t["_part"] == 0)
+    known = F.filter("_tokens", lambda t: t["idx"].isNotNull())
+    return grouped.select(id_col, F.transform(first_parts, lambda t: t["own"]).alias("words"),
+                          F.transform(known, lambda t: t["idx"]).alias("sequence"))
 
 
 def marked_rate(coded: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:

@@ -69,9 +69,8 @@ def vocabulary(spark, sf_dir):
 
 def coded(spark, sf_dir):
     """Documents as word numbers: sequences and rates are read off them."""
-    codes = staged_once("codes", sf_dir, spark, lambda: K.word_codes(
-        dictionary(spark, sf_dir), vocabulary(spark, sf_dir)))
-    return staged_once("coded", sf_dir, spark, lambda: K.coded_tokens(split(spark, sf_dir), codes, "doc_id"))
+    return staged_once("coded", sf_dir, spark, lambda: K.coded_tokens(
+        split(spark, sf_dir), vocabulary(spark, sf_dir), "doc_id"))
 
 
 def sequences(spark, sf_dir):

@@ -127,7 +127,7 @@ def test_coded_tokens_equal_the_plain_path(spark, cleaned, cap):
 
     once = texts.filter("id <> 20 OR text <> 'wheels'")
     split = K.split_texts(once, "text", "id")
-    coded = write_stage(K.coded_tokens(split, write_stage(K.word_codes(dictionary, vocab), "codes"), "id"), "coded")
+    coded = write_stage(K.coded_tokens(split, vocab, "id"), "coded")
     plain = V.text_to_sequence(once, "text", "id", vocab)
     assert {r["id"]: r["sequence"] for r in coded.collect()} == {r["id"]: r["sequence"] for r in plain.collect()}
     new = vocab.filter("idx % 2 = 1")
@@ -141,7 +141,7 @@ def test_coded_tokens_of_no_texts(spark):
     split = K.split_texts(none, "text", "id")
     dictionary = K.word_dictionary(split, "id")
     vocab = K.vocabulary_of(dictionary, 10)
-    coded = K.coded_tokens(split, K.word_codes(dictionary, vocab), "id")
+    coded = K.coded_tokens(split, vocab, "id")
     assert coded.count() == vocab.count() == K.marked_rate(coded, "id", vocab).count() == 0
 
 
@@ -150,7 +150,7 @@ def test_sequences_and_rates_need_no_word(spark, cleaned):
     split = write_stage(K.split_texts(cleaned, "text", "id"), "split")
     dictionary = write_stage(K.word_dictionary(split, "id"), "dictionary")
     vocab = write_stage(K.vocabulary_of(dictionary, 100), "vocabulary")
-    coded = write_stage(K.coded_tokens(split, K.word_codes(dictionary, vocab), "id"), "coded")
+    coded = write_stage(K.coded_tokens(split, vocab, "id"), "coded")
     plan = coded.select("id", "sequence")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "words" not in plan
     assert "string" not in {f.dataType.simpleString() for f in coded.schema}
