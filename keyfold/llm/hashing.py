@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BYTE_BASE, _WORD_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+_BYTE_BASE, _WORD_BASE, _SECOND_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,6 +93,11 @@ def windows_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return _segment_hashes(hashes, at, at + size, _WORD_BASE)
 
 
+def second_windows_of(hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """Another hash of the runs of ``size`` words that start at ``at``, independent of ``windows_of``."""
+    return _segment_hashes(mix(hashes ^ _SECOND_BASE), at, at + size, _SECOND_BASE)
+
+
 def sequences_of(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each stated run of words."""
     return _segment_hashes(hashes, starts, ends, _WORD_BASE)

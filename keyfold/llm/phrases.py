@@ -2,10 +2,12 @@
 
 A passage recurs where a window of words (35 by default) starts in more than one place.
 
-1. Documents are dealt into slices by a hash of their id. Each slice hashes its windows, keeps each
-   hash once with a mark if the slice holds it twice, and sends them in blocks by hash range. A
-   window that fills the corpus is thus sent once per slice, not once per place.
-2. The owner of a hash range tells every slice which of its windows recur.
+1. Candidates. Documents are dealt into slices by a hash of their id and text. Each slice hashes its
+   windows, keeps a 47-bit key of each once with a mark if the slice holds the key twice, and sends the
+   keys in blocks to their owners; an owner tells every slice which of its keys recur. A window that
+   fills the corpus is thus sent once per slice, not once per place.
+2. Confirmation. For the candidates alone, slices send 128 bits of hash (two independent window hashes),
+   and owners tell which of these recur. Windows that only share a key drop out here.
 3. Each slice takes the recurring windows' first places, joins neighbours into passages, and compiles
    the passages into an Aho-Corasick automaton: pieces of half a window, one after the other, so
    that any window inside a passage holds a whole piece. All documents of the slice stream through
@@ -13,8 +15,8 @@ A passage recurs where a window of words (35 by default) starts in more than one
    the passage those words are removed.
 
 Every document meets exactly one automaton, which holds every recurring passage that it could
-contain, so the work grows with the corpus and not with corpus times shards. Step 1 and step 3
-group the documents in the same way and share one shuffle.
+contain, so the work grows with the corpus and not with corpus times shards. All steps group the
+documents in the same way and share one shuffle. Words are compared by 64 bits each throughout.
 
 Cases: a null text has no words; a text shorter than a window cannot lose any; a text of any length
 stays in one slice, which is hashed at once in about forty times its bytes; repeated rows recur in
@@ -32,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.hashing import U64, Words, window_starts, windows_of, words_of
+from keyfold.llm.hashing import U64, Words, mix, second_windows_of, window_starts, windows_of, words_of
 
 WINDOW = 35
 # Bytes of text in a slice of documents, and of the text whose windows one owner compares.
 SLICE_BYTES, OWNER_BYTES = 2 << 20, 4 << 20
 
+# Bits of a candidate's key, of which the lowest is the mark, and the bytes it is sent in.
+KEY_BITS, _KEY_BYTES = 48, 6
+
 _MARK = U64(1)
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -48,13 +53,32 @@ def _windows_of_slice(words: Words, window: int) -> tuple[np.ndarray, np.ndarray
     return places, windows_of(words.hashes, window)[places] & ~_MARK
 
 
-def _passages(places: np.ndarray, hashes: np.ndarray, recurring: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word ranges that hold each recurring window once: neighbours among their first places, joined."""
-    found = np.searchsorted(recurring, hashes)
-    found[found == len(recurring)] = 0
-    hit = np.flatnonzero(recurring[found] == hashes) if len(recurring) else np.zeros(0, np.int64)
-    _, first = np.unique(hashes[hit], return_index=True)
-    starts = np.sort(places[hit[first]])
+def _is_among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is one of ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _numbered(pairs: np.ndarray) -> np.ndarray:
+    """A number for each row of two hashes, the same for equal rows."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ordered = pairs[order]
+    new = np.append(False, (ordered[1:] != ordered[:-1]).any(1))[:len(pairs)]
+    numbers = np.empty(len(pairs), np.int64)
+    numbers[order] = np.cumsum(new)
+    return numbers
+
+
+def _pairs_at(words: Words, places: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """Both hashes of the windows at ``places``, whose first hashes are given."""
+    return np.column_stack([hashes, second_windows_of(words.hashes, window, places)])
+
+
+def _passages(places: np.ndarray, hashes: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Word ranges that hold each of the windows once: neighbours among their first places, joined."""
+    _, first = np.unique(hashes, return_index=True)
+    starts = np.sort(places[first])
     if not len(starts):
         return []
     breaks = np.flatnonzero(np.diff(starts) != 1)
@@ -62,6 +86,36 @@ def _passages(places: np.ndarray, hashes: np.ndarray, recurring: np.ndarray, win
                     (starts[np.append(breaks, len(starts) - 1)] + window).tolist(), strict=True))
 
 
+def _packed(keys: np.ndarray) -> np.ndarray:
+    """Keys as rows of bytes."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+
+
+def _unpacked(block: bytes) -> np.ndarray:
+    out = np.zeros((len(block) // _KEY_BYTES, 8), np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(block, np.uint8).reshape(-1, _KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _dealt_blocks(number: pa.Scalar, owner: np.ndarray, rows: np.ndarray) -> pa.Table:
+    """The rows in one block of bytes per owner."""
+    order = np.argsort(owner, kind="stable")
+    owned, begins = np.unique(owner[order], return_index=True)
+    blocks = [b.tobytes() for b in np.split(rows[order], begins[1:])] if len(owned) else []
+    return pa.table({"owner": pa.array(owned, pa.int64()), "slice": pa.array([number.as_py()] * len(owned), pa.int64()),
+                     "hashes": pa.array(blocks, pa.binary())})
+
+
+def _told(table: pa.Table, blocks: list[np.ndarray]) -> pa.Table:
+    """What each slice is told: one block for each that it sent."""
+    return pa.table({"slice": table.column("slice"), "hashes": pa.array([b.tobytes() for b in blocks], pa.binary())})
+
+
+def _pieces(values: np.ndarray, blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Values of all blocks, one after the other, by block."""
+    return np.split(values, np.cumsum([len(b) for b in blocks])[:-1])
+
+
 def _letters(hashes: np.ndarray) -> np.ndarray:
     """One code point per word, for the automaton; different words may share one."""
     return (hashes % U64(0xF0000)).astype(np.uint32) + np.uint32(0x10000)
@@ -90,11 +144,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def covered_words(words: Words, recurring: np.ndarray, window: int) -> np.ndarray:
-    """Marks the words of a slice that lie in a recurring window."""
+    """Marks the words of a slice that lie in a recurring window; ``recurring`` has both hashes of each."""
     h = words.hashes
     covered = np.zeros(len(h), bool)
     places, hashes = _windows_of_slice(words, window)
-    passages = _passages(places, hashes, recurring, window)
+    near = _is_among(hashes, np.sort(recurring[:, 0]))
+    places, hashes = places[near], hashes[near]
+    numbers = _numbered(np.concatenate([recurring, _pairs_at(words, places, hashes, window)]))
+    known, own = numbers[:len(recurring)], numbers[len(recurring):]
+    hit = _is_among(own, np.sort(known))
+    passages = _passages(places[hit], own[hit], window)
     letters = _letters(h).tobytes().decode("utf-32-le")
     automaton = compile_automaton(letters, passages, window)
     if automaton is None:
@@ -130,11 +189,12 @@ def _kept(words: Words, covered: np.ndarray, text: int) -> bytes:
 
 
 def remove_recurring(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES,
-                     owner_bytes: int = OWNER_BYTES, keep_text: bool = True) -> DataFrame:
+                     owner_bytes: int = OWNER_BYTES, keep_text: bool = True, key_bits: int = KEY_BITS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept)`` for each row of ``docs (doc_id, text)``.
 
     ``kept`` is what is left of the text, its words joined by single spaces; without ``keep_text`` it
-    is null. One small aggregate over the texts' lengths sets the numbers of slices and owners.
+    is null. One small aggregate over the texts' lengths sets the numbers of slices and owners. Fewer
+    ``key_bits`` (at most 48) make more candidates, not another result.
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, owners = volume // slice_bytes + 1, volume // owner_bytes + 1
@@ -142,31 +202,47 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
     number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
     dealt = docs.select(F.col("doc_id").cast("long"), "text", number.alias("slice"))
 
+    key_mask = U64((1 << key_bits) - 1) & ~_MARK
+
     def send(key: tuple, table: pa.Table) -> pa.Table:
         _, hashes = _windows_of_slice(words_of(table.column("text").to_pylist()), window)
-        hashes, counts = np.unique(hashes, return_counts=True)
-        owner = ((hashes >> U64(32)) % U64(owners)).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
-        marked = (hashes | (counts > 1).astype(U64))[order]
-        owned, begins = np.unique(owner[order], return_index=True)
-        blocks = [b.tobytes() for b in np.split(marked, begins[1:])] if len(owned) else []
-        return pa.table({"owner": owned, "slice": pa.array([key[0].as_py()] * len(owned), pa.int64()),
-                         "hashes": pa.array(blocks, pa.binary())})
+        keys, counts = np.unique(hashes & key_mask, return_counts=True)
+        owner = (mix(keys) % U64(owners)).astype(np.int64)
+        return _dealt_blocks(key[0], owner, _packed(keys | (counts > 1).astype(U64)))
 
     def compare(table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(b, U64) for b in table.column("hashes").to_pylist()]
+        blocks = [_unpacked(b) for b in table.column("hashes").to_pylist()]
         marked = np.concatenate(blocks)
-        hashes, inverse, counts = np.unique(marked & ~_MARK, return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(marked & ~_MARK, return_inverse=True, return_counts=True)
         twice = counts > 1
         twice[inverse[(marked & _MARK) == _MARK]] = True
-        ends = np.cumsum([len(b) for b in blocks])
-        return pa.table({"slice": table.column("slice"), "hashes": pa.array([
-            (b & ~_MARK)[t].tobytes() for b, t in zip(blocks, np.split(twice[inverse], ends[:-1]), strict=True)], pa.binary())})
+        return _told(table, [_packed((b & ~_MARK)[t]) for b, t in zip(blocks, _pieces(twice[inverse], blocks), strict=True)])
+
+    def send_candidates(key: tuple, documents: pa.Table, told: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.zeros(0, U64), *map(_unpacked, told.column("hashes").to_pylist())]))
+        words = words_of(documents.column("text").to_pylist())
+        places, hashes = _windows_of_slice(words, window)
+        near = _is_among(hashes & key_mask, keys)
+        pairs = _pairs_at(words, places[near], hashes[near], window)
+        _, first, counts = np.unique(_numbered(pairs), return_index=True, return_counts=True)
+        pairs = pairs[first]
+        pairs[:, 0] |= (counts > 1).astype(U64)
+        return _dealt_blocks(key[0], (mix(pairs[:, 1]) % U64(owners)).astype(np.int64), pairs)
+
+    def confirm(table: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(b, U64).reshape(-1, 2) for b in table.column("hashes").to_pylist()]
+        marked = np.concatenate(blocks)
+        pairs = marked & np.array([~_MARK, ~U64(0)])
+        numbers = _numbered(pairs)
+        twice = np.bincount(numbers) > 1
+        twice[numbers[(marked[:, 0] & _MARK) == _MARK]] = True
+        stay = twice[numbers]
+        return _told(table, [b[t] for b, t in zip(_pieces(pairs, blocks), _pieces(stay, blocks), strict=True)])
 
     def cut(documents: pa.Table, told: pa.Table) -> pa.Table:
-        recurring = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(b, U64) for b in told.column("hashes").to_pylist())]))
+        blocks = [np.frombuffer(b, U64).reshape(-1, 2) for b in told.column("hashes").to_pylist()]
         words = words_of(documents.column("text").to_pylist())
-        covered = covered_words(words, recurring, window)
+        covered = covered_words(words, np.concatenate([np.zeros((0, 2), U64), *blocks]), window)
         counts = words.counts()
         removed = np.add.reduceat(np.append(covered, False), words.first[:-1], dtype=np.int64) if len(counts) else counts
         kept = [_kept(words, covered, i) for i in range(len(counts))]
@@ -176,6 +252,8 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
             "kept": pa.array([k.decode("utf-8", "surrogatepass") if keep_text else None for k in kept], pa.string())})
 
-    sent = dealt.groupBy("slice").applyInArrow(send, "owner long, slice long, hashes binary")
-    told = sent.groupBy("owner").applyInArrow(compare, "slice long, hashes binary")
-    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(cut, _RESULT)
+    sent, back = "owner long, slice long, hashes binary", "slice long, hashes binary"
+    candidates = dealt.groupBy("slice").applyInArrow(send, sent).groupBy("owner").applyInArrow(compare, back)
+    asked = dealt.groupBy("slice").cogroup(candidates.groupBy("slice")).applyInArrow(send_candidates, sent)
+    recurring = asked.groupBy("owner").applyInArrow(confirm, back)
+    return dealt.groupBy("slice").cogroup(recurring.groupBy("slice")).applyInArrow(cut, _RESULT)

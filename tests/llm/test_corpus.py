@@ -170,6 +170,12 @@ def test_recurring_passages_on_hostile_table(docs):
     assert rows_of(phrases.remove_recurring(docs.filter("doc_id < 0"))) == []
 
 
+@pytest.mark.parametrize("key_bits", [1, 6, 12])
+def test_windows_that_only_share_a_key_stay(docs, key_bits):
+    found = phrases.remove_recurring(docs, 7, 4096, 4096, key_bits=key_bits)
+    assert sorted(rows_of(found)) == brute_phrases([(r["doc_id"], r["text"]) for r in docs.collect()], 7)
+
+
 # --- 3 ------------------------------------------------------------------------------------------------
 def test_redirects_and_canonical_links(spark):
     rows = [
