@@ -20,6 +20,8 @@ from keyfold.session import write_stage
 
 # Code points looked at on either side of a proposed span for context words.
 CONTEXT = 48
+# Code points in a piece of text that context is read from, more than CONTEXT.
+PIECE = 1024
 # Score from which a proposed span counts.
 ACCEPT = 0.6
 
@@ -66,23 +68,41 @@ def _bind(value: Column, use) -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) of the leftmost non-overlapping matches, in code points."""
+    """Array of (start, end, found) of the leftmost non-overlapping matches, in code points.
+
+    Positions are running sums. Appending to an array copies it, so the sums are taken in blocks of the
+    root of the number of matches, within each block and over the blocks.
+    """
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
                     F.split(text, pattern, -1).alias("g"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,found:string>>")
+    spans = "array<struct<start:bigint,end:bigint,found:string>>"
+    zero = lambda kind: F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
 
-    def walk(b: Column) -> Column:
-        pairs = F.arrays_zip(b["m"].alias("m"), F.slice(b["g"], 1, F.size(b["m"])).alias("g"))
+    def span(start: Column, end: Column, found: Column) -> Column:
+        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), found.alias("found"))
+
+    def within(block: Column) -> Column:
         start = lambda acc, p: acc["at"] + F.length(p["g"])
-        return F.aggregate(
-            pairs, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-            lambda acc, p: F.struct(
-                (start(acc, p) + F.length(p["m"])).cast("bigint").alias("at"),
-                F.concat(acc["out"], F.array(F.struct(
-                    start(acc, p).cast("bigint").alias("start"),
-                    (start(acc, p) + F.length(p["m"])).cast("bigint").alias("end"),
-                    p["m"].alias("found")))).alias("out")),
-            lambda acc: acc["out"])
+        end = lambda acc, p: start(acc, p) + F.length(p["m"])
+        return F.aggregate(block, zero(spans), lambda acc, p: F.struct(
+            end(acc, p).cast("bigint").alias("at"),
+            F.concat(acc["out"], F.array(span(start(acc, p), end(acc, p), p["m"]))).alias("out")))
+
+    def over(blocks: Column) -> Column:
+        moved = lambda acc, b: F.transform(
+            b["out"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"], s["found"]))
+        return F.flatten(F.aggregate(blocks, zero(f"array<{spans}>"), lambda acc, b: F.struct(
+            (acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved(acc, b))).alias("out")),
+            lambda acc: acc["out"]))
+
+    def walk(b: Column) -> Column:
+        return _bind(F.arrays_zip(b["m"].alias("m"), F.slice(b["g"], 1, F.size(b["m"])).alias("g")), in_blocks)
+
+    def in_blocks(pairs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(pairs))), F.lit(1)).cast("int")
+        count = F.greatest(F.ceil(F.size(pairs) / size), F.lit(1)).cast("int")
+        return over(F.transform(F.sequence(F.lit(1), count), lambda i: within(
+            F.slice(pairs, (i - 1) * size + 1, size))))
 
     return _bind(both, walk)
 
@@ -127,22 +147,30 @@ def _valid(kind: Kind, found: Column) -> Column:
     raise ValueError(kind.name)
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Lower-case text around a span."""
+def _context(pieces: Column, span: Column) -> Column:
+    """Lower-case text around a span, from the pieces of a text, so that none is counted from its beginning."""
+    def near(start: Column, length: Column) -> Column:
+        at = F.floor(start / PIECE).cast("int")
+        joined = F.concat(*[F.coalesce(F.get(pieces, at + i), F.lit("")) for i in (0, 1)])
+        return F.substr(joined, (start % PIECE + 1).cast("int"), length)
+
     before = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    return F.lower(F.concat(
-        F.substr(text, (before + 1).cast("int"), (span["start"] - before).cast("int")), F.lit(" "),
-        F.substr(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))))
+    return F.lower(F.concat(near(before, (span["start"] - before).cast("int")), F.lit(" "),
+                            near(span["end"], F.lit(CONTEXT))))
 
 
 def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of a kind, each with its score."""
     valid = F.filter(_matches(text, kind.pattern), lambda s: _valid(kind, s["found"]))
-    scored = F.transform(valid, lambda s: F.struct(
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    scored = lambda spans, parts: F.transform(spans, lambda s: F.struct(
         F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         F.least(F.lit(1.0), F.lit(kind.base) + F.when(
-            _context(text, s).rlike(kind.words), kind.bonus).otherwise(0.0)).alias("score")))
-    return F.filter(scored, lambda s: s["score"] >= ACCEPT)
+            _context(parts, s).rlike(kind.words), kind.bonus).otherwise(0.0)).alias("score")))
+    # Only a text with spans is cut into pieces.
+    found = _bind(valid, lambda v: _bind(
+        F.when(F.size(v) > 0, pieces).otherwise(F.array().cast("array<string>")), lambda parts: scored(v, parts)))
+    return F.filter(found, lambda s: s["score"] >= ACCEPT)
 
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

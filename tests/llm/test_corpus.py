@@ -170,6 +170,22 @@ def test_recurring_passages_on_hostile_table(docs):
     assert rows_of(phrases.remove_recurring(docs.filter("doc_id < 0"))) == []
 
 
+def test_personal_data_in_texts_of_many_spans(spark):
+    """Positions over many blocks of matches and pieces of text, in code points, with and without context."""
+    texts, wanted = [], {}
+    for number, spans in enumerate([0, 1, 2, 3, 16, 17, 2500]):
+        text, at = "\U0001F600" * 1000, []
+        for i in range(spans):
+            text += " server " if i % 3 == 0 else "\U0001F600 " * 60
+            found = f"10.0.{i % 256}.7"
+            at.append(("ip", len(text), len(text) + len(found), 1.0 if i % 3 == 0 else 0.7))
+            text += found + "\U0001F600 " * 60
+        texts.append((number, text))
+        wanted[number] = at
+    rows = pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [(*s[:3], round(s["score"], 6)) for s in r["base"]] for r in rows} == wanted
+
+
 @pytest.mark.parametrize("key_bits", [1, 6, 12])
 def test_windows_that_only_share_a_key_stay(docs, key_bits):
     found = phrases.remove_recurring(docs, 7, 4096, 4096, key_bits=key_bits)
