@@ -6,8 +6,9 @@ A passage recurs where a window of words (35 by default) starts in more than one
    windows, keeps a 47-bit key of each once with a mark if the slice holds the key twice, and sends the
    keys in blocks to their owners; an owner tells every slice which of its keys recur. A window that
    fills the corpus is thus sent once per slice, not once per place.
-2. Confirmation. For the candidates alone, slices send 128 bits of hash (two independent window hashes),
-   and owners tell which of these recur. Windows that only share a key drop out here.
+2. Confirmation. For the candidates alone, slices send 95 bits of hash (31 of the first and all 64 of a
+   second, independent one), and owners answer with the second hashes of those that recur. Windows
+   that only share a key drop out here.
 3. Each slice takes the recurring windows' first places, joins neighbours into passages, and compiles
    the passages into an Aho-Corasick automaton: pieces of half a window, one after the other, so
    that any window inside a passage holds a whole piece. All documents of the slice stream through
@@ -44,6 +45,8 @@ SLICE_BYTES, OWNER_BYTES = 2 << 20, 4 << 20
 KEY_BITS, _KEY_BYTES = 48, 6
 
 _MARK = U64(1)
+# Bits of the first hash that confirm a candidate.
+_LOW = U64(0xFFFFFFFE)
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -70,9 +73,10 @@ def _numbered(pairs: np.ndarray) -> np.ndarray:
     return numbers
 
 
-def _pairs_at(words: Words, places: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
-    """Both hashes of the windows at ``places``, whose first hashes are given."""
-    return np.column_stack([hashes, second_windows_of(words.hashes, window, places)])
+def _pairs_of(rows: bytes) -> np.ndarray:
+    """Pairs of hashes from rows of three 32-bit words."""
+    words = np.frombuffer(rows, np.uint32).reshape(-1, 3).astype(U64)
+    return np.column_stack([words[:, 0], words[:, 1] | words[:, 2] << U64(32)])
 
 
 def _passages(places: np.ndarray, hashes: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -144,16 +148,13 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def covered_words(words: Words, recurring: np.ndarray, window: int) -> np.ndarray:
-    """Marks the words of a slice that lie in a recurring window; ``recurring`` has both hashes of each."""
+    """Marks the words of a slice that lie in a recurring window; ``recurring`` has their second hashes, sorted."""
     h = words.hashes
     covered = np.zeros(len(h), bool)
-    places, hashes = _windows_of_slice(words, window)
-    near = _is_among(hashes, np.sort(recurring[:, 0]))
-    places, hashes = places[near], hashes[near]
-    numbers = _numbered(np.concatenate([recurring, _pairs_at(words, places, hashes, window)]))
-    known, own = numbers[:len(recurring)], numbers[len(recurring):]
-    hit = _is_among(own, np.sort(known))
-    passages = _passages(places[hit], own[hit], window)
+    places = np.flatnonzero(window_starts(words, window))
+    hashes = second_windows_of(h, window, places)
+    hit = _is_among(hashes, recurring)
+    passages = _passages(places[hit], hashes[hit], window)
     letters = _letters(h).tobytes().decode("utf-32-le")
     automaton = compile_automaton(letters, passages, window)
     if automaton is None:
@@ -223,26 +224,27 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, slice_bytes: int = S
         words = words_of(documents.column("text").to_pylist())
         places, hashes = _windows_of_slice(words, window)
         near = _is_among(hashes & key_mask, keys)
-        pairs = _pairs_at(words, places[near], hashes[near], window)
+        pairs = np.column_stack([hashes[near] & _LOW, second_windows_of(words.hashes, window, places[near])])
         _, first, counts = np.unique(_numbered(pairs), return_index=True, return_counts=True)
         pairs = pairs[first]
         pairs[:, 0] |= (counts > 1).astype(U64)
-        return _dealt_blocks(key[0], (mix(pairs[:, 1]) % U64(owners)).astype(np.int64), pairs)
+        rows = np.ascontiguousarray(pairs, "<u8").view(np.uint32).reshape(-1, 4)[:, [0, 2, 3]]
+        return _dealt_blocks(key[0], (mix(pairs[:, 1]) % U64(owners)).astype(np.int64), rows)
 
     def confirm(table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(b, U64).reshape(-1, 2) for b in table.column("hashes").to_pylist()]
+        blocks = [_pairs_of(b) for b in table.column("hashes").to_pylist()]
         marked = np.concatenate(blocks)
-        pairs = marked & np.array([~_MARK, ~U64(0)])
+        pairs = marked & np.array([_LOW, ~U64(0)])
         numbers = _numbered(pairs)
         twice = np.bincount(numbers) > 1
         twice[numbers[(marked[:, 0] & _MARK) == _MARK]] = True
         stay = twice[numbers]
-        return _told(table, [b[t] for b, t in zip(_pieces(pairs, blocks), _pieces(stay, blocks), strict=True)])
+        return _told(table, [b[t] for b, t in zip(_pieces(pairs[:, 1], blocks), _pieces(stay, blocks), strict=True)])
 
     def cut(documents: pa.Table, told: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(b, U64).reshape(-1, 2) for b in told.column("hashes").to_pylist()]
+        recurring = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(b, U64) for b in told.column("hashes").to_pylist())]))
         words = words_of(documents.column("text").to_pylist())
-        covered = covered_words(words, np.concatenate([np.zeros((0, 2), U64), *blocks]), window)
+        covered = covered_words(words, recurring, window)
         counts = words.counts()
         removed = np.add.reduceat(np.append(covered, False), words.first[:-1], dtype=np.int64) if len(counts) else counts
         kept = [_kept(words, covered, i) for i in range(len(counts))]
