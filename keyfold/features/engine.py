@@ -142,6 +142,17 @@ def attach_all(rows: DataFrame, features: Sequence[Feature], lead: str = "user_i
     return out.select(*rows.columns, *[f.name for f in features])
 
 
+def _over_keys(feature: Feature) -> Column:
+    """A measure of the rows with equal keys, as a window."""
+    whole, arg = Window.partitionBy(*feature.keys), feature.arg
+    if feature.kind == "span":
+        value = F.datediff(F.max(arg).over(whole), F.min(arg).over(whole)).cast("bigint")
+    else:
+        value = {"count": lambda: F.count(F.lit(1)), "count_col": lambda: F.count(arg),
+                 "stddev": lambda: F.stddev_samp(arg)}[feature.kind]().over(whole)
+    return value.alias(feature.name)
+
+
 def _window_columns(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     """Window form of the features; the caller has bounded the rows of every group.
 
@@ -151,25 +162,22 @@ def _window_columns(df: DataFrame, features: Sequence[Feature]) -> DataFrame:
     out = df
     distinct = [f for f in features if f.kind == "distinct"]
     counts = {f.keys: f for f in features if f.kind == "count"}
+    done = set()
     for f in distinct:
         keys, rank, gap = f.keys, f"_rank_{f.name}", F.col(f.arg).isNull().cast("int")
-        out = out.withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys).orderBy(f.arg)))
-        finer = counts.pop((*keys, f.arg), None)
-        if finer is not None:
-            out = out.withColumn(finer.name, F.count(F.lit(1)).over(Window.partitionBy(*finer.keys)))
+        out = out.select("*", F.dense_rank().over(Window.partitionBy(*keys).orderBy(f.arg)).alias(rank))
         whole = Window.partitionBy(*keys)
         # NULL sorts first and takes a rank, but is not a distinct value.
-        out = out.withColumn(f.name, (F.max(rank).over(whole) - F.max(gap).over(whole)).cast("bigint")).drop(rank)
-    for f in [f for f in features if f.kind != "distinct"]:
-        if f.kind == "count" and f.keys not in counts:
-            continue
-        whole = Window.partitionBy(*f.keys)
-        if f.kind == "span":
-            value = F.datediff(F.max(f.arg).over(whole), F.min(f.arg).over(whole)).cast("bigint")
-        else:
-            value = {"count": lambda: F.count(F.lit(1)), "count_col": lambda: F.count(f.arg),
-                     "stddev": lambda: F.stddev_samp(f.arg)}[f.kind]().over(whole)
-        out = out.withColumn(f.name, value)
+        values = [(F.max(rank).over(whole) - F.max(gap).over(whole)).cast("bigint").alias(f.name)]
+        # What else this order serves: plain measures of the same keys, and the count of the finer ones.
+        finer = counts.get((*keys, f.arg))
+        same = [o for o in features if o.kind != "distinct" and o.name not in done and (o.keys == keys or o is finer)]
+        done |= {o.name for o in same}
+        out = out.select(*[c for c in out.columns if c != rank], *values, *[_over_keys(o) for o in same])
+    # Measures of one partitioning make one step, and so do a hundred of them to the analyzer.
+    rest = sorted((f for f in features if f.kind != "distinct" and f.name not in done), key=lambda f: f.keys)
+    if rest:
+        out = out.select("*", *[_over_keys(f) for f in rest])
     guarded = [F.when(_all_present(f.keys), F.col(f.name)).alias(f.name) for f in features]
     return out.select(*df.columns, *guarded)
 

@@ -2,6 +2,9 @@
 
 Aggregates are always taken over the stage that first holds their key columns, so every stage can
 be run from the written result of the one before.
+
+``in_a_row`` runs them all without writing the wide rows in between: what shuffles are narrow tables of
+id and keys, whose features are written in buckets of the id, and all of these join there.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from keyfold.features.engine import attach, attach_all, attach_stddev
 from keyfold.features.spec import Feature
 from keyfold.functions.scalar import calendar_parts, days_since
 from keyfold.operators.enrich import left_lookup
+from keyfold.session import write_buckets
 
 ID = "item_id"
 ITEM_KEYS = [ID, "user_id", "region", "city", "parent_category_name", "category_name",
@@ -71,9 +75,14 @@ def stage3_part2(part1: DataFrame) -> DataFrame:
     return out.select(*kept, *_names(catalog.PART2), "deal_probability")
 
 
-def stage3(part1: DataFrame) -> DataFrame:
-    """Parts two and three in one go, from the written part one."""
-    counted = feature_table(part1, catalog.PART2 + catalog.PART3, catalog.PAIR_CELLS)
+def stage3_features(part1: DataFrame) -> DataFrame:
+    """Per item: all counts of parts two and three, from the written part one."""
+    return feature_table(part1, catalog.PART2 + catalog.PART3, catalog.PAIR_CELLS)
+
+
+def stage3(part1: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Parts two and three in one go, from the written part one; ``counted`` are its features, if written."""
+    counted = stage3_features(part1) if counted is None else counted
     dropped = {"month", "day", "deal_probability", *catalog.PART3_DROPS}
     kept = [c for c in [*part1.columns, *_names(catalog.PART2)] if c not in dropped]
     return part1.join(counted, ID, "left").select(*kept, *_names(catalog.PART3), "deal_probability")
@@ -85,6 +94,11 @@ def stage4(stage3_rows: DataFrame, items: DataFrame, fill: bool = True) -> DataF
     return attach(stage3_rows, spans, source=items)
 
 
+def stage4_features(items: DataFrame) -> DataFrame:
+    """Per item: the date spans of stage four."""
+    return feature_table(items, catalog.SPANS)
+
+
 def stage4_select(stage4_rows: DataFrame) -> DataFrame:
     """Leave out the day difference and everything counted over it."""
     kept = [c for c in stage4_rows.columns if "day_diff" not in c and c not in TAIL[1:]]
@@ -134,3 +148,26 @@ def stage8(stage6_rows: DataFrame, population: DataFrame, macros: DataFrame) ->
     """
     out = left_lookup(stage6_rows, population, [ID], ["population"])
     return left_lookup(out, macros, ["region"], MACRO_COLUMNS)
+
+
+def join_stages(items: DataFrame, part1: DataFrame, counted: DataFrame, spans: DataFrame, pairs: DataFrame,
+                population: DataFrame, macros: DataFrame) -> DataFrame:
+    """Stages three to eight from their written features. All tables but the last are in buckets of the id.
+
+    The population joins before the calendar, beside which an item without features has no id to join by:
+    it gets NULL either way, but here the rows still lie by their id.
+    """
+    stage5_rows = stage5(stage4_select(stage3(part1, counted).join(spans, ID, "left")), pairs)
+    stage6_rows = stage6(left_lookup(stage5_rows, population, [ID], ["population"]), calendar(items))
+    out = left_lookup(stage6_rows, macros, ["region"], MACRO_COLUMNS)
+    return out.select(*stage5_rows.columns, "week", "dayofweek", "day", "population", *MACRO_COLUMNS)
+
+
+def in_a_row(items: DataFrame, population: DataFrame, macros: DataFrame) -> DataFrame:
+    """Stages three to eight. ``items`` are written in buckets of the id, which no two of them share;
+    every join on the id is then one of buckets, without a shuffle."""
+    part1 = write_buckets(stage3_part1(items), "part1", ID)
+    counted = write_buckets(stage3_features(part1), "stage3_features", ID)
+    spans = write_buckets(stage4_features(items), "stage4_features", ID)
+    pairs = write_buckets(stage5_features(items), "stage5_features", ID)
+    return join_stages(items, part1, counted, spans, pairs, write_buckets(population, "population", ID), macros)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.features.spec import Feature
-from keyfold.session import write_stage
+from keyfold.session import write_buckets, write_stage
 from keyfold.sources.items import ITEMS_SQL, items, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,17 +35,18 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
-def staged_once(name: str, sf_dir: str, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage table that many queries scan, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STAGED:
-        _STAGED[key] = write_stage(build(), name)
-    return _STAGED[key]
+def staged_once(name: str, sf_dir: str, spark: SparkSession, build: Callable[[], DataFrame],
+                key: str | None = None) -> DataFrame:
+    """A stage table that many queries scan, written once per session; in buckets of ``key``, if given."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STAGED:
+        _STAGED[at] = write_buckets(build(), name, key) if key else write_stage(build(), name)
+    return _STAGED[at]
 
 
 def item_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items as a stage table: the feature queries scan it many times."""
-    return staged_once("items", sf_dir, spark, lambda: spread(items(spark, sf_dir), "item_id"))
+    """The items as a stage table in buckets of the id: the feature queries scan it many times."""
+    return staged_once("items", sf_dir, spark, lambda: items(spark, sf_dir), "item_id")
 
 
 def r6(column: str | Column, name: str | None = None) -> Column:

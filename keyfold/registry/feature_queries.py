@@ -11,7 +11,7 @@ from keyfold.operators import enrich
 from keyfold.plans import stages
 from keyfold.registry.base import attach_sql, item_stage, query, r6, with_items
 from keyfold.registry.row_queries import _CUSTOMERS_SQL, CALENDAR_SQL, macro_table, population_tables
-from keyfold.session import write_stage
+from keyfold.session import write_buckets, write_stage
 
 # --- single operators -------------------------------------------------------------------------------
 _ATTACHED = {
@@ -134,7 +134,7 @@ _STAGE3_CTES = [("part1", _PART1_SQL), ("stage3_wide", _STAGE3_WIDE_SQL)]
 
 
 def written_stage3(spark, sf_dir):
-    part1 = write_stage(stages.stage3_part1(item_stage(spark, sf_dir)), "part1")
+    part1 = write_buckets(stages.stage3_part1(item_stage(spark, sf_dir)), "part1", "item_id")
     return stages.stage3(part1)
 
 
@@ -231,13 +231,9 @@ PIPELINE_SQL = ("SELECT f.*, c.week, c.dayofweek, c.day, p.population, m.unemplo
 
 @query("pipeline_all_stages", with_items(PIPELINE_SQL, PIPELINE_CTES))
 def pipeline_all_stages(spark, sf_dir):
-    """Stages three to eight in a row, each from the written result of the one before."""
+    """Stages three to eight in a row, on tables in buckets of the item id."""
     items = item_stage(spark, sf_dir)
-    stage4 = write_stage(
-        stages.stage4_select(stages.stage4(written_stage3(spark, sf_dir), items)), "stage4")
-    stage5 = stages.stage5(stage4, write_stage(stages.stage5_features(items), "stage5_features"))
-    stage6 = stages.stage6(stage5, stages.calendar(items))
     fine, coarse = population_tables(spark, sf_dir)
     population = enrich.coalesce_lookup(items.select("item_id", "region", "city"), fine, ["region", "city"],
                                         coarse, ["city"], "population").select("item_id", "population")
-    return stages.stage8(stage6, population, macro_table(spark, sf_dir))
+    return stages.in_a_row(items, population, macro_table(spark, sf_dir))

@@ -14,7 +14,7 @@ from keyfold.operators.encode import fill_literals, fill_mean, fill_zero, label_
 from keyfold.plans import stages
 from keyfold.registry.base import item_stage, query, r6, staged_once, with_items
 from keyfold.registry.feature_queries import PIPELINE_CTES, PIPELINE_SQL, pipeline_all_stages
-from keyfold.session import write_stage
+from keyfold.session import write_buckets, write_stage
 
 FOLDS, SEEDS = ensemble.FOLDS, ensemble.SEEDS
 
@@ -135,9 +135,9 @@ def model_inputs(spark, sf_dir):
     """The last stage with standard deviations merged, missing values filled, categories coded and
     listed items left out; written once for the queries on it."""
     def build():
-        staged = write_stage(pipeline_all_stages(spark, sf_dir), "stage8")
-        merged = staged.join(write_stage(stages.stage7(staged), "stage7"), "item_id", "left").join(
-            write_stage(stages.stage7_calendar(staged), "stage7_calendar"), "item_id", "left")
+        staged = write_buckets(pipeline_all_stages(spark, sf_dir), "stage8", "item_id")
+        merged = staged.join(write_buckets(stages.stage7(staged), "stage7", "item_id"), "item_id", "left").join(
+            write_buckets(stages.stage7_calendar(staged), "stage7_calendar", "item_id"), "item_id", "left")
         filled = fill_zero(fill_literals(merged, {
             **{c: _NO_TEXT for c in _CATEGORIES}, "image_top_1": _NO_NUMBER, "population": int(_NO_NUMBER),
             **{c: _NO_NUMBER for c in _BY_KEY + _BY_USER}, **{c: 0.0 for c in stages.MACRO_COLUMNS}}), _COUNTED)

@@ -61,3 +61,18 @@ def write_stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_stage_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` as a stage table in buckets of ``key``, sorted by it, and read it back.
+
+    Such tables join each other on ``key`` without a shuffle, which their rows have behind them; there are
+    as many buckets as shuffle partitions. For keys that few rows share, such as ids: a value's rows are in
+    one bucket. Rows that come in these partitions already are written as they are.
+    """
+    spark = df.sparkSession
+    path = new_stage_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
