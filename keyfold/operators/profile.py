@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 def frequency(df: DataFrame, keys: Sequence[str], name: str, of: str | None = None,
               order: str | None = None) -> DataFrame:
     """Rows per key tuple. With ``of``, its non-NULL values are counted, so a NULL group of that
-    column counts 0. ``order`` is 'asc', 'desc' or None."""
+    column counts 0. ``order`` is 'asc', 'desc' or None; rows of one count come by their keys."""
     counted = F.count(of) if of else F.count(F.lit(1))
     out = df.groupBy(*keys).agg(counted.alias(name))
-    if order == "asc":
-        return out.orderBy(F.asc(name))
-    if order == "desc":
-        return out.orderBy(F.desc(name))
-    return out
+    if order is None:
+        return out
+    # Few counts are shared by most tuples: the keys part rows of one count among the ranges of the sort.
+    return out.orderBy(F.asc(name) if order == "asc" else F.desc(name), *keys)
 
 
 def distinct_values(df: DataFrame, keys: Sequence[str], of: str, name: str,

@@ -162,3 +162,14 @@ def test_cross_fit_covers_each_labelled_id_once(spark):
     error = result.oof.agg(ensemble.rmse().alias("e")).first()["e"]
     assert error < 0.2
     assert top_importance(result.importance).first()["feature"] == "x"
+
+
+def test_equal_counts_are_spread_over_the_ranges_of_the_sort(spark):
+    """Sorted by the count alone, all tuples of one count would be one task's."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = profile.frequency(spark.range(20_000).withColumnRenamed("id", "k"), ["k"], "n", order="desc")
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
