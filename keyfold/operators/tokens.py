@@ -1,4 +1,5 @@
-"""Coded tokens: texts are split once, and words become vocabulary numbers by one join.
+"""Coded tokens: texts are split once, and words become vocabulary numbers where the
+texts lie.
 
 The chain is ``split_texts`` -> ``word_dictionary`` -> ``vocabulary_of`` -> ``coded_tokens``, and each
 result is meant to be written (``write_stage``) before the next one reads it. What counts words then
@@ -11,11 +12,18 @@ vocabulary words of a text are those of its words, one after the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.features.engine import null_safe_join
 from keyfold.functions import text as T
 from keyfold.operators.ranking import with_rank
+from keyfold.session import write_stage
 
 # A row's order as a decimal, and that with ten digits for the place in the text.
 _ORDER, _FIRST = "decimal(20,0)", "decimal(31,0)"
@@ -56,10 +64,37 @@ def vocabulary_of(dictionary: DataFrame, cap: int) -> DataFrame:
 def coded_tokens(split: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """``(id, words, sequence)``: each word's own index, and the indexes of all vocabulary words in order.
 
-    A word that is not itself in the vocabulary has 0. This is the one join on words. ``vocab`` should
-    be a written table: Spark broadcasts it if its size allows, and splits the partitions of very
-    frequent words if not.
+    A word that is not itself in the vocabulary has 0. Texts of one id count as one, in the order of their
+    places. Texts are coded where they lie, see ``by_row``, and those of repeated ids by a join on words.
     """
+    def here(df: DataFrame, known: tuple[pa.Array, pa.Array]) -> DataFrame:
+        parts = F.transform("words", lambda w: F.coalesce(T.vocabulary_words(w), F.array().cast("array<string>")))
+        schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, words array<int>, sequence array<int>"
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                words, part_lists = frame.column("words"), frame.column("_parts")
+                flat, lists = words.flatten(), part_lists.flatten()
+                found, pieces = _numbers(lists.flatten(), *known), lists.flatten()
+                in_text, in_word = _starts(words), _starts(lists)
+                some = in_word[1:] > in_word[:-1]
+                own = np.zeros(len(flat), np.int32)
+                first = pa.array(in_word[:-1][some])
+                same = pc.equal(pieces.take(first), flat.filter(pa.array(some))).to_numpy(zero_copy_only=False)
+                own[some] = np.where(same, found[in_word[:-1][some]], 0)
+                yield pa.RecordBatch.from_arrays(
+                    [frame.column(id_col), _lists(in_text, own), _kept(in_word[in_text], found)], [id_col, "words", "sequence"])
+
+        return df.select(id_col, F.coalesce("words", F.array().cast("array<string>")).alias("words"),
+                         F.coalesce(parts, F.array().cast("array<array<string>>")).alias("_parts")).mapInArrow(run, schema)
+
+    return by_row(split, vocab, id_col, here, lambda df: joined_tokens(df, vocab, id_col))
+
+
+def joined_tokens(split: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """``coded_tokens`` by a join of all tokens with ``vocab``, which may have any size. It should be a
+    written table: Spark broadcasts it if its size allows, and splits the partitions of very frequent
+    words if not."""
     placed = split.select(id_col, F.posexplode_outer("words").alias("_at", "_word"))
     parts = placed.select("*", F.posexplode_outer(T.vocabulary_words("_word")).alias("_part", "word"))
     found = parts.join(vocab.select("word", "idx"), "word", "left")
@@ -74,6 +109,63 @@ def coded_tokens(split: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
                           F.transform(known, lambda t: t["idx"]).alias("sequence"))
 
 
+def by_row(df: DataFrame, vocab: DataFrame, id_col: str,
+           here: Callable[[DataFrame, tuple[pa.Array, pa.Array]], DataFrame],
+           joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Texts coded row by row, without a shuffle of their tokens.
+
+    Every task needs the whole vocabulary for that, so one of more than ``VOCABULARY_CAP`` words is joined
+    instead, and so are texts whose id (null is one) has more than one row, which only a shuffle brings
+    together; both by ``joined``.
+    """
+    bounded = vocab.select("word", "idx").limit(T.VOCABULARY_CAP + 1).toArrow()
+    if bounded.num_rows > T.VOCABULARY_CAP or len(pc.unique(bounded.column("word"))) < bounded.num_rows:
+        return joined(df)
+    known = bounded.column("word").combine_chunks(), bounded.column("idx").combine_chunks()
+    repeated = write_stage(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return here(df, known)
+    single, several = (null_safe_join(df, repeated, [id_col], how) for how in ("left_anti", "left_semi"))
+    return here(single, known).unionByName(joined(several))
+
+
+def _numbers(words: pa.Array, known: pa.Array, idx: pa.Array) -> np.ndarray:
+    """The index of each word, 0 for others; indexes run from 1."""
+    return pc.fill_null(idx.take(pc.index_in(words, value_set=known)), 0).to_numpy(zero_copy_only=False)
+
+
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where each list starts among all values, and their end."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _kept(starts: np.ndarray, found: np.ndarray) -> pa.Array:
+    """The lists of found indexes that are not 0."""
+    before = np.concatenate([[0], np.cumsum(found > 0)])
+    return _lists(before[starts], found[found > 0])
+
+
+def text_sequences(df: DataFrame, text: str, vocab: DataFrame, id_col: str,
+                   joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(id, sequence)`` of texts that are not split yet; ``joined`` as of ``by_row``."""
+    def here(some: DataFrame, known: tuple[pa.Array, pa.Array]) -> DataFrame:
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                words = frame.column("words")
+                yield pa.RecordBatch.from_arrays(
+                    [frame.column(id_col), _kept(_starts(words), _numbers(words.flatten(), *known))], [id_col, "sequence"])
+
+        words = F.coalesce(T.vocabulary_words(text), F.array().cast("array<string>")).alias("words")
+        return some.select(id_col, words).mapInArrow(
+            run, f"{id_col} {some.schema[id_col].dataType.simpleString()}, sequence array<int>")
+
+    return by_row(df, vocab, id_col, here, joined)
+
+
 def marked_rate(coded: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
     """``(id, uq_rate)``: share of a text's words whose index is in ``marked (idx)``; 1 without words."""
     flagged = marked.select("idx", F.lit(1).alias("_marked")).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
 from keyfold.operators.ranking import with_rank
+from keyfold.operators.tokens import text_sequences
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -44,11 +45,14 @@ def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_to_sequence(df: DataFrame, text: str, id_col: str, vocab: DataFrame) -> DataFrame:
-    """``(id, sequence)``: vocabulary indexes of a text in order; words outside are dropped.
+    """``(id, sequence)``: vocabulary indexes of a text in order; words outside are dropped. Texts are
+    coded where they lie, see ``tokens.by_row``."""
+    return text_sequences(df, text, vocab, id_col, lambda some: joined_sequences(some, text, id_col, vocab))
 
-    ``vocab`` should be a written table: Spark broadcasts it if its size allows, and splits the
-    partitions of very frequent words if not.
-    """
+
+def joined_sequences(df: DataFrame, text: str, id_col: str, vocab: DataFrame) -> DataFrame:
+    """``text_to_sequence`` by a join of all words with ``vocab``, which should be a written table: Spark
+    broadcasts it if its size allows, and splits the partitions of very frequent words if not."""
     placed = df.select(id_col, F.posexplode_outer(T.vocabulary_words(text)).alias("_at", "word"))
     found = placed.join(vocab.select("word", "idx"), "word", "left")
     pairs = F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("_at", "idx")))

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
 from keyfold.operators import tokens as K
@@ -154,3 +155,28 @@ def test_sequences_and_rates_need_no_word(spark, cleaned):
     plan = coded.select("id", "sequence")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "words" not in plan
     assert "string" not in {f.dataType.simpleString() for f in coded.schema}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_texts_are_coded_where_they_lie(spark, repeated):
+    """The same rows as by the join of all tokens; no token is shuffled, but for those of repeated ids."""
+    rows = [(1, ["a-b", "c", "a", "--", "zz"]), (2, []), (3, None), (4, ["b", "a,", "c.a"]), (5, ["zz"])]
+    rows += [(None, ["a"]), (4, ["c", "a-b"]), (None, ["b", "zz"])] if repeated else [(None, ["a"])]
+    split = write_stage(spark.createDataFrame(rows, "doc_id long, words array<string>"), "split")
+    vocab = write_stage(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, idx int"), "vocab")
+    got = K.coded_tokens(split, vocab, "doc_id")
+    assert sorted(got.collect(), key=str) == sorted(K.joined_tokens(split, vocab, "doc_id").collect(), key=str)
+    assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == repeated
+    texts = split.select("doc_id", F.array_join("words", " ").alias("text"))
+    got = V.text_to_sequence(texts, "text", "doc_id", vocab)
+    assert sorted(got.collect(), key=str) == sorted(V.joined_sequences(texts, "text", "doc_id", vocab).collect(), key=str)
+    assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == repeated
+
+
+def test_a_vocabulary_too_large_for_a_task_is_joined(spark, monkeypatch):
+    monkeypatch.setattr(K.T, "VOCABULARY_CAP", 2)
+    split = spark.createDataFrame([(1, ["a", "c"])], "doc_id long, words array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, idx int")
+    got = K.coded_tokens(split, vocab, "doc_id")
+    assert "Exchange" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, [1, 3], [1, 3])]
