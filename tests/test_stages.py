@@ -8,6 +8,7 @@ from keyfold.features.engine import attach, attach_windows
 from keyfold.features.spec import Feature
 from keyfold.plans import stages
 from keyfold.session import write_buckets, write_stage
+from keyfold.sources.items import items as base_items
 
 
 @pytest.fixture
@@ -85,3 +86,35 @@ def test_windows_of_many_kinds_equal_joins(spark):
     names = ["id", *[f.name for f in features]]
     windows, joins = (sorted(how.select(*names).collect()) for how in (attach_windows(df, features, "user_id"), attach(df, features)))
     assert [tuple(r) for r in windows] == [tuple(r) for r in joins]
+
+
+def test_item_queries_of_one_scan_write_nothing(spark, monkeypatch):
+    """Nor do others write the columns that they do not read."""
+    from keyfold.registry import base
+
+    monkeypatch.setattr(base, "_STAGED", {})
+    at = "/root/testdata/sf0.001"
+    once = base.item_rows(spark, at).select("item_id", "price")
+    assert not base._STAGED and "o_totalprice" not in plan(once)
+    narrow = base.item_stage(spark, at, "price", "item_id")
+    assert narrow.columns == ["item_id", "price"] and base.item_stage(spark, at, "item_id", "price") is narrow
+    assert sorted(narrow.collect()) == sorted(once.collect())
+    whole = base.item_stage(spark, at)
+    assert base.item_stage(spark, at, "price") is whole and base.item_rows(spark, at) is whole
+
+
+def test_early_stages_shuffle_the_rows_by_user_once(spark):
+    items = write_stage(base_items(spark, "/root/testdata/sf0.001"), "items")
+    for stage in (stages.stage1, stages.stage2, stages.stage3_part1):
+        shown = plan(stage(items))
+        assert shown.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(user_id" in shown
+
+
+def test_spans_of_users_that_the_rows_have_are_kept(spark):
+    from pyspark.testing import assertDataFrameEqual
+
+    items = write_stage(base_items(spark, "/root/testdata/sf0.001"), "items")
+    more = [f for f in catalog.SPANS if f.keys == ("user_id",)]
+    plain, given = (stages.stage4(write_stage(stages.stage3_part1(items, more=m), "part1"), items) for m in ((), more))
+    assert plain.columns == given.columns
+    assertDataFrameEqual(plain, given)
