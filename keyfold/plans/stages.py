@@ -177,8 +177,8 @@ def join_stages(items: DataFrame, part1: DataFrame, counted: DataFrame, spans: D
 
 
 def in_a_row(items: DataFrame, population: DataFrame, macros: DataFrame) -> DataFrame:
-    """Stages three to eight. ``items`` are written in buckets of the id, which no two of them share;
-    every join on the id is then one of buckets, without a shuffle."""
+    """Stages three to eight. No two ``items`` share an id. Joins on the id are joins of buckets without a
+    shuffle; only the calendar of items that are not in buckets themselves, id and date parts, is shuffled."""
     part1 = write_buckets(stage3_part1(items), "part1", ID)
     counted = write_buckets(stage3_features(part1), "stage3_features", ID)
     spans = write_buckets(stage4_features(items), "stage4_features", ID)

@@ -138,8 +138,8 @@ _STAGE3_SQL = f"SELECT * EXCLUDE ({_DROPPED}) FROM stage3_wide"
 _STAGE3_CTES = [("part1", _PART1_SQL), ("stage3_wide", _STAGE3_WIDE_SQL)]
 
 
-def written_stage3(spark, sf_dir):
-    part1 = write_buckets(stages.stage3_part1(stage_items(spark, sf_dir)), "part1", "item_id")
+def written_stage3(spark, sf_dir, more=()):
+    part1 = write_buckets(stages.stage3_part1(stage_items(spark, sf_dir), more=more), "part1", "item_id")
     return stages.stage3(part1)
 
 
