@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.hashing import slices_of
-from keyfold.llm.tokenizing import encoder_of, read_tokenizer
+from keyfold.llm.tokenizing import CACHE_ENTRIES, encoder_of, read_tokenizer
 
 WINDOW = 4096
 END_TOKEN = 2
@@ -126,16 +126,17 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_token: int = END_TOKEN,
-                   pool: int = POOL, pool_low: int = POOL_LOW) -> DataFrame:
+                   pool: int = POOL, pool_low: int = POOL_LOW, entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece of the documents ``(doc_id, text)``; see ``SCHEMA``.
 
-    ``sequence_id`` holds the partition above 32 bits and the window's number in it below.
+    ``sequence_id`` holds the partition above 32 bits and the window's number in it below. ``entries`` bounds
+    a generation of the encoder's cache.
     """
     tokenizer = read_tokenizer(tokenizer_path)
     end = end_token.to_bytes(4, "little")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, entries)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
 
         def placed() -> pa.RecordBatch:

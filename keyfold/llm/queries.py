@@ -148,9 +148,13 @@ def token_files(spark, sf_dir):
     return tokens.token_digest(tokens.read_token_files(spark, path))
 
 
+# The query runs by itself, so that its encoders may remember more than beside the pipeline's other stages.
+PACK_CACHE_ENTRIES = 800_000
+
+
 @query("op10_pack_sequences")
 def pack_sequences(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, entries=PACK_CACHE_ENTRIES)
 
 
 @query("op11_tokenizer_alignment")
