@@ -242,3 +242,26 @@ def test_wide_stage_shuffles_rows_once(spark, settings):
     assert plan.count("Exchange hashpartitioning(user_id") == 1 and plan.count("Exchange") == 1
     plan = attach_all(items.select("item_id", *columns), catalog.STAGE5, cell_columns=catalog.TRIPLE_CELLS)
     assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_sort_the_rows_once_for_all_key_sets(frame):
+    features = [f for f in COUNTS + OTHERS if "user" in f.keys]
+    plan = attach_windows(frame.filter("user is not null"), features, "user")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Window" not in plan
+
+
+def test_standard_deviations_led_by_a_column(frame, rows):
+    feature = Feature("s", ("user", "param"), "stddev", "price")
+    got = {r["id"]: r["s"] for r in attach_windows(frame.filter("user is not null"), [feature], "user").collect()}
+    want = {r["id"]: r["s"] for r in frame.filter("user is not null and param is not null").selectExpr(
+        "id", "stddev_samp(price) over (partition by user, param) as s").collect()}
+    assert all((v is None) == (want.get(i) is None) and (v is None or abs(v - want[i]) < 1e-9) for i, v in got.items())
+
+
+def test_blocks_of_joins_carry_finished_columns_as_one(frame, rows, monkeypatch):
+    from keyfold.features import engine
+    written = []
+    monkeypatch.setattr(engine, "write_stage", lambda df, name: written.append((name, df.columns)) or write_stage(df, name))
+    check(attach(frame, COUNTS + OTHERS, block=1), rows, COUNTS + OTHERS)
+    blocks = [columns for name, columns in written if name == "block"]
+    assert blocks and all(len(c) == len(frame.columns) + i + 1 for i, c in enumerate(blocks))
