@@ -173,3 +173,25 @@ def test_equal_counts_are_spread_over_the_ranges_of_the_sort(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 20_000 and max(sizes) < 10_000
+
+
+def test_folds_are_ranked_without_writing_hashes(spark, monkeypatch):
+    from keyfold.operators import ensemble, ranking
+    written, write = [], ranking.write_stage
+    monkeypatch.setattr(ranking, "write_stage", lambda df, name: written.append(df.columns) or write(df, name))
+    df = spark.range(9).selectExpr("cast(id AS string) AS item")
+    assert sorted(r["n"] for r in ensemble.equal_folds(df, "item", 4, 7).groupBy("fold").agg({"*": "count"}).toDF("fold", "n").collect()) == [2, 2, 2, 3]
+    assert written == [["item", "_id"]]
+
+
+def test_models_without_ordered_categories_are_averaged_in_one_pass(spark, monkeypatch):
+    from keyfold.operators import crossfit
+    written, write = [], crossfit.write_stage
+    monkeypatch.setattr(crossfit, "write_stage", lambda df, name: written.append(name) or write(df, name))
+    df = spark.range(60).selectExpr("cast(id AS string) AS item_id", "cast(id % 7 AS double) AS x", "id % 7 / 7D AS deal_probability")
+    params = crossfit.BoostingParams(rounds=2, patience=1, depth=2, min_leaf_rows=1)
+    found = crossfit.cross_fit(df.filter("cast(item_id AS int) < 40"), df.filter("cast(item_id AS int) >= 40").unionByName(
+        df.filter("item_id = 50")), ["x"], folds=2, seeds=(7,), params=params)
+    rows = found.predictions.collect()
+    assert sorted(r["item_id"] for r in rows) == sorted(str(i) for i in range(40, 60)) and found.oof.count() == 40
+    assert len({round(r["prediction"], 9) for r in rows}) <= 7 and "test_fold" not in written and "oof" not in written
