@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from keyfold.features.engine import null_safe_join
 from keyfold.functions import text as T
-from keyfold.operators.ranking import with_rank
-from keyfold.session import write_stage
+from keyfold.operators.ranking import largest, with_rank
+from keyfold.session import spread, write_stage
 
-# A row's order as a decimal, and that with ten digits for the place in the text.
-_ORDER, _FIRST = "decimal(20,0)", "decimal(31,0)"
+# A row's order as a decimal, that with ten digits for the place in the text, and with eight more for the place in the word.
+_ORDER, _FIRST, _PLACED = "decimal(20,0)", "decimal(31,0)", "decimal(38,0)"
+# Distinct words that a task counts before it passes them on, and bits of a place in a text.
+COUNTED_WORDS, _PLACE_BITS, _ROWS_IN_BATCH = 1_000_000, 36, 10_000
 
 
 def split_texts(df: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -39,24 +41,70 @@ def word_dictionary(split: DataFrame, order: str) -> DataFrame:
 
     ``first`` joins the integer column ``order`` and the place in the text into one decimal number, a
     type that can be aggregated by hash where a struct needs all tokens sorted. Null is lowest.
+
+    Tasks count the words of their texts in Arrow, at most about ``COUNTED_WORDS`` distinct ones at a time, and
+    the counts are added up once they lie by word: no task holds, or spills, all words of its texts.
     """
     row = F.coalesce(F.col(order).cast(_ORDER), F.lit(str(-10 ** 19)).cast(_ORDER))
     begin = (row * F.lit(str(10 ** 10)).cast("decimal(11,0)")).cast(_FIRST)
-    met = split.select(begin.alias("_begin"), F.posexplode("words").alias("_at", "word"))
-    return met.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.min((F.col("_begin") + F.col("_at")).cast(_FIRST)).alias("first"))
+    words = F.coalesce("words", F.array().cast("array<string>")).alias("words")
+    counted = split.select(begin.alias("begin"), words).mapInArrow(_counted, f"word string, n long, first {_FIRST}")
+    return spread(counted, "word").groupBy("word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(word, n, first)`` of texts ``(begin, words)``; a word may come again, with another part of its count."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(_batch_counts(batch))
+        size += held[-1].num_rows
+        if size >= 2 * COUNTED_WORDS:
+            held = [_added(held)]
+            size = held[0].num_rows
+            if size >= COUNTED_WORDS:
+                yield from held[0].to_batches(max_chunksize=_ROWS_IN_BATCH)
+                held, size = [], 0
+    if held:
+        yield from _added(held).to_batches(max_chunksize=_ROWS_IN_BATCH)
+
+
+def _batch_counts(batch: pa.RecordBatch) -> pa.Table:
+    begins, lists = batch.column("begin"), batch.column("words")
+    # Numbers in the order of the decimals, which numpy has no type for.
+    distinct = pc.unique(begins)
+    distinct = distinct.take(pc.sort_indices(distinct))
+    rank = pc.index_in(begins, value_set=distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = _starts(lists)
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    words = pa.table({"word": lists.flatten(), "at": (np.repeat(rank, np.diff(starts)) << _PLACE_BITS) + place})
+    found = words.group_by("word", use_threads=False).aggregate([("at", "count"), ("at", "min")])
+    first = found.column("at_min").to_numpy()
+    begin = distinct.take(pa.array(first >> _PLACE_BITS))
+    place = pa.array(first & ((1 << _PLACE_BITS) - 1)).cast(pa.decimal128(19, 0))
+    return pa.table({"word": found.column("word"), "n": found.column("at_count"),
+                     "first": pc.add(begin, place).cast(pa.decimal128(31, 0))})
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    if len(tables) == 1:
+        return tables[0]
+    found = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum"), ("first", "min")])
+    return pa.table({"word": found.column("word"), "n": found.column("n_sum"), "first": found.column("first_min")})
 
 
 def vocabulary_of(dictionary: DataFrame, cap: int) -> DataFrame:
     """The ``(word, idx, n)`` that ``operators.vocabulary.vocabulary`` finds in the same texts.
 
-    Counts and first places are summed up from the distinct words; the texts are not read.
+    Counts and first places are summed up from the distinct words; the texts are not read. Only words as
+    frequent as the last one in use are sorted.
     """
     limit = min(cap, dictionary.count())
     parts = dictionary.select("n", "first", F.posexplode(T.vocabulary_words("word")).alias("_part", "word"))
-    counted = parts.groupBy("word").agg(
-        F.sum("n").alias("n"), F.min(F.struct("first", "_part")).alias("_first"))
-    ranked = with_rank(counted, [F.desc("n"), F.asc("_first")], "_rank")
+    # Eight digits more, for the place in the word; all fit in 38.
+    place = (F.col("first").cast(_PLACED) * F.lit(10 ** 8).cast(_PLACED) + F.col("_part")).cast(_PLACED)
+    counted = write_stage(spread(parts.select("word", "n", place.alias("_first")), "word").groupBy("word").agg(
+        F.sum("n").alias("n"), F.min("_first").alias("_first")), "counted")
+    ranked = with_rank(largest(counted, "n", limit), [F.desc("n"), F.asc("_first")], "_rank")
     return ranked.filter(F.col("_rank") + 1 < limit).select(
         "word", (F.col("_rank") + 1).cast("int").alias("idx"), "n")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from keyfold.functions import text as T
 from keyfold.operators import tokens as K
 from keyfold.operators import vocabulary as V
-from keyfold.registry.base import query, r6, spread, staged_once
-from keyfold.session import new_stage_path, write_stage
+from keyfold.registry.base import query, r6, staged, staged_once
+from keyfold.session import new_stage_path, spread, write_stage
 from keyfold.sources.files import read_vectors, write_vectors
 from keyfold.sources.items import read_table
 
@@ -47,18 +47,33 @@ _SEQUENCES = (
 
 def cleaned(spark, sf_dir):
     """Documents with cleaned text, written once."""
+    return staged_once("cleaned", sf_dir, spark, lambda: _cleaned_view(spark, sf_dir))
+
+
+def _cleaned_view(spark, sf_dir):
+    """Texts are cleaned where they lie; only those of fewer files than cores are dealt out first."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return staged_once("cleaned", sf_dir, spark, lambda: spread(documents, "doc_id").select(
-        "doc_id", "lang", T.clean("text").alias("clean")))
+    if len(documents.inputFiles()) < spark.sparkContext.defaultParallelism:
+        documents = spread(documents, "doc_id")
+    return documents.select("doc_id", "lang", T.clean("text").alias("clean"))
+
+
+def _split_view(spark, sf_dir):
+    found = staged("cleaned", sf_dir, spark)
+    return K.split_texts(_cleaned_view(spark, sf_dir) if found is None else found, "clean", "doc_id")
 
 
 def split(spark, sf_dir):
     """The words of all documents, split once: dictionary and coded tokens read them."""
-    return staged_once("split", sf_dir, spark, lambda: K.split_texts(cleaned(spark, sf_dir), "clean", "doc_id"))
+    return staged_once("split", sf_dir, spark, lambda: _split_view(spark, sf_dir))
 
 
 def dictionary(spark, sf_dir):
-    return staged_once("dictionary", sf_dir, spark, lambda: K.word_dictionary(split(spark, sf_dir), "doc_id"))
+    """Of the split texts, if they are written; a query that needs nothing else of them does not write them."""
+    def build():
+        found = staged("split", sf_dir, spark)
+        return K.word_dictionary(_split_view(spark, sf_dir) if found is None else found, "doc_id")
+    return staged_once("dictionary", sf_dir, spark, build)
 
 
 def vocabulary(spark, sf_dir):

@@ -1,12 +1,17 @@
 import re
 from collections import Counter
+from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from keyfold.functions import text as T
 from keyfold.operators import tokens as K
 from keyfold.operators import vocabulary as V
+from keyfold.operators.ranking import largest
+from keyfold.registry import text_queries
+from keyfold.registry.base import staged
 from keyfold.session import write_stage
 
 TEXTS = [
@@ -180,3 +185,52 @@ def test_a_vocabulary_too_large_for_a_task_is_joined(spark, monkeypatch):
     got = K.coded_tokens(split, vocab, "doc_id")
     assert "Exchange" in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [(1, [1, 3], [1, 3])]
+
+
+def plain_dictionary(rows):
+    """``{word: (n, least begin + place)}`` of rows ``(begin, words)``."""
+    found = {}
+    for begin, words in rows:
+        for at, w in enumerate(words or []):
+            n, first = found.get(w, (0, begin + at))
+            found[w] = (n + 1, min(first, begin + at))
+    return found
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_words_are_counted_in_bounded_parts(monkeypatch, most):
+    """Repeated begins, begins that fall, texts without words, an empty batch."""
+    monkeypatch.setattr(K, "COUNTED_WORDS", most)
+    rows = [(50, ["b", "a", "b"]), (50, ["a"]), (10, ["c", "b"]), (-10 ** 29, ["z"] * 4 + ["a"]), (7, []), (10 ** 28, ["b", "y"]), (3, ["d", "e", "f"])]
+    kind = pa.schema([("begin", pa.decimal128(31, 0)), ("words", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([{"begin": Decimal(b), "words": w} for b, w in part], kind)
+               for part in (rows[:3], [], rows[3:5], rows[4:5], rows[5:])]
+    found = {}
+    for batch in K._counted(iter(batches)):
+        for r in batch.to_pylist():
+            n, first = found.get(r["word"], (0, r["first"]))
+            found[r["word"]] = (n + r["n"], min(first, int(r["first"])))
+    assert found == plain_dictionary([*rows[:5], rows[4], *rows[5:]])
+
+
+def test_dictionary_of_null_and_repeated_ids(spark):
+    rows = [(5, ["b", "a"]), (5, ["a"]), (None, ["a", "c"]), (2, None), (3, []), (1, ["c", "b"])]
+    split = spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    got = {r["word"]: (r["n"], int(r["first"])) for r in K.word_dictionary(split, "id").collect()}
+    assert got == plain_dictionary([((-10 ** 19 if i is None else i) * 10 ** 10, w) for i, w in rows])
+
+
+def test_largest_keeps_ties_and_no_more(spark):
+    df = spark.createDataFrame([(w, n) for w, n in zip("abcdefg", [9, 5, 5, 5, 2, 1, 1], strict=True)], "word string, n long")
+    for limit, want in ((1, "a"), (2, "abcd"), (4, "abcd"), (5, "abcde"), (6, "abcdefg"), (100, "abcdefg")):
+        assert "".join(sorted(r["word"] for r in largest(df, "n", limit).collect())) == want
+    assert largest(df.filter("n > 9"), "n", 3).count() == 0
+
+
+def test_vocabulary_writes_no_texts(spark, tmp_path):
+    """A query on the vocabulary alone writes neither cleaned nor split texts."""
+    for name in ("documents", "embeddings"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert text_queries.embedding_stats(spark, str(tmp_path)).count() == 1
+    assert staged("dictionary", str(tmp_path), spark) is not None
+    assert staged("cleaned", str(tmp_path), spark) is None and staged("split", str(tmp_path), spark) is None
