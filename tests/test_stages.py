@@ -1,5 +1,7 @@
 """Stage tables in buckets: what joins there does not shuffle."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from keyfold.features import catalog
 from keyfold.features.engine import attach, attach_windows
 from keyfold.features.spec import Feature
 from keyfold.plans import stages
-from keyfold.session import write_buckets, write_stage
+from keyfold.session import run_all, write_buckets, write_stage
 from keyfold.sources.items import items as base_items
 
 
@@ -118,3 +120,26 @@ def test_spans_of_users_that_the_rows_have_are_kept(spark):
     plain, given = (stages.stage4(write_stage(stages.stage3_part1(items, more=m), "part1"), items) for m in ((), more))
     assert plain.columns == given.columns
     assertDataFrameEqual(plain, given)
+
+
+def test_feature_tables_are_built_side_by_side(spark, monkeypatch):
+    """Builders wait for each other, which they would in vain one after the other; results stay in place."""
+    together = threading.Barrier(4, timeout=30)
+
+    def build(df, name, key):
+        if name != "stage3_features":
+            together.wait()
+        return name
+
+    monkeypatch.setattr(stages, "write_buckets", build)
+    for step in ("stage3_part1", "stage3_features", "stage4_features", "stage5_features"):
+        monkeypatch.setattr(stages, step, lambda df: df)
+    monkeypatch.setattr(stages, "join_stages", lambda *tables: tables[1:])
+    found = stages.in_a_row(spark.range(1), None, "macros")
+    assert found == ("part1", "stage3_features", "stage4_features", "stage5_features", "population", "macros")
+
+
+def test_jobs_side_by_side_fail_as_one(spark):
+    with pytest.raises(ZeroDivisionError):
+        run_all(spark, [lambda: 1, lambda: 1 // 0])
+    assert run_all(spark, [lambda n=n: n for n in range(6)], 2) == list(range(6))
