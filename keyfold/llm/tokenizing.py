@@ -2,7 +2,8 @@
 
 Two splitting rules are known here. Under both no token reaches from a non-space character over a
 following space, so a text may be encoded in chunks that begin with a space, and chunks seen before
-come from a bounded cache. The result equals encoding the whole text, which the tests check on odd
+come from a bounded cache. The same holds of a following line feed; where line feeds are tokens, chunks
+begin there, too, so that the cache has no pairs of words from two lines. The result equals encoding the whole text, which the tests check on odd
 and on random texts. A tokenizer file that states any other rule is used on whole texts as it is.
 """
 
@@ -47,6 +48,10 @@ _ODD = "\\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 _ENDS_ODD = regex.compile(rf"(?:^|[{_ODD}])\Z")
 # Characters on which splitting libraries differ; a chunk that holds one is encoded directly.
 _CONTROL = regex.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028-\u202f\ufeff]")
+# Stands for a line feed that a chunk begins with; that chunk follows the one before it without a space.
+_LINE = "\0"
+# Marks that end a word; neither an apostrophe, which may begin a contraction, nor what begins a special token.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _SAFE_BREAK = regex.compile(rf"(?<=[^{_ODD}]) (?! )")
 
 
@@ -64,7 +69,7 @@ class _Cache(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            if not chunk.isalpha() and self.checked and _ENDS_ODD.search(chunk):
+            if not chunk.isalpha() and self.checked and (chunk == _LINE or _ENDS_ODD.search(chunk)):
                 raise _Unsafe  # the break after this chunk may lie inside a run of white space
             found = self.encode(chunk, self)
         if len(self) >= self.entries:
@@ -94,6 +99,7 @@ class Encoder:
         self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
         self.quick, self.whole = (_Cache(self._spaced, checked, entries) for checked in (True, False))
         self.tails = {c: self._direct(c) for c in ".,;:!?)"}
+        self.line = self._direct("\n")
 
     def _direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -116,18 +122,24 @@ class Encoder:
         return "".join(c.lower() for c in chunk) if "\u03a3" in chunk else chunk.lower()
 
     def _spaced(self, chunk: str, cache: _Cache) -> bytes:
-        """Ids of a chunk behind a space. Letters, and letters with one mark, need no splitting."""
+        """Ids of a chunk behind a space or, if it says so, a line feed. Letters, and letters with marks behind
+        them, need no splitting."""
         if chunk.isalpha():
             if not self.lowers:
                 return self._ids(_SPACE_LETTER + chunk) if chunk.isascii() else self._merged(" " + chunk)
             lowered = self._lowered(chunk)
             if lowered.isalpha():
                 return self._merged(lowered)
-        elif chunk[-1:] in self.tails and chunk[:-1].isalpha() and (
-                not self.lowers or chunk.isascii() or self._lowered(chunk[:-1]).isalpha()):
+        line = cache.checked and not self.lowers and chunk[0] == _LINE
+        if line and chunk[1:].isalpha():
+            return self.line + self._merged(chunk[1:])
+        stem = chunk.rstrip(_MARKS)
+        if len(stem) < len(chunk) and stem[line:].isalpha() and (
+                not self.lowers or chunk.isascii() or self._lowered(stem).isalpha()):
             # A letter whose lower case ends in a combining mark would join the mark behind it.
-            return cache[chunk[:-1]] + self.tails[chunk[-1]]
-        return self._chunk(" " + chunk)
+            marks = chunk[len(stem):]
+            return cache[stem] + (self.tails[marks] if marks in self.tails else self._merged(marks))
+        return self._chunk("\n" + chunk[1:] if line else " " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if _CONTROL.search(chunk) or "<" in chunk and any(s in chunk for s in self.specials):
@@ -136,14 +148,27 @@ class Encoder:
             chunk = self._lowered(chunk)
         return b"".join(map(self._merged, self.pattern.findall(chunk)))
 
+    def _lined(self, text: str) -> str:
+        """The text with a space and ``_LINE`` for each line feed that no space, carriage return or line feed precedes."""
+        if not self.lowers:
+            if _LINE in text:
+                raise _Unsafe
+            if "\n" in text:
+                text = text.replace("\n", " " + _LINE)
+                for split, kept in (("  " + _LINE, " \n"), ("\r " + _LINE, "\r\n"),
+                                    (f"{_LINE} {_LINE}", _LINE + "\n"), ("\n " + _LINE, "\n\n")):
+                    if split in text:
+                        text = text.replace(split, kept)
+        return text
+
     def encode(self, text: str | None) -> bytes:
         """Null counts as empty."""
         if not text:
             return b""
         if not self.known:
             return self._direct(text)
-        head, *rest = text.split(" ")
         try:
+            head, *rest = self._lined(text).split(" ")
             if rest and _ENDS_ODD.search(head):
                 raise _Unsafe
             return self._chunk(head) + b"".join(map(self.quick.__getitem__, rest))

@@ -577,6 +577,25 @@ def test_encoder_equals_the_library_on_random_texts(path):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, text
 
 
+@pytest.mark.parametrize("path", [BYTE_TOKENIZER, WORD_TOKENIZER])
+def test_encoder_equals_the_library_around_line_feeds_and_marks(path):
+    rng = random.Random(11)
+    encoder, plain = Encoder(read_tokenizer(path)), Tokenizer.from_file(path)
+    parts = ["\n", "\n", "\n", "\r\n", " ", " ", "\0", "\t", "one", "Été", "x.", "y!!", "z'", "'s", "$%=", "<|endoftext|>", "<", "|>", "3", "\u0338"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(30_000)]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_encoder_remembers_words_on_both_sides_of_a_line_feed():
+    """Not each pair of a line's last and the next one's first word, of which there are many more."""
+    encoder, plain = Encoder(read_tokenizer(BYTE_TOKENIZER)), Tokenizer.from_file(BYTE_TOKENIZER)
+    names = [f"{a}{b}e" for a in "bdfgklm" for b in "aiou"]
+    text = "All of " + " and ".join(f"{a}.{feed}{b}" for a in names for b in names for feed in ("\n", "\n\n"))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.quick) < 5 * len(names) and not encoder.whole
+
+
 def test_encoder_of_an_unknown_rule_is_the_library(few):
     stated = json.loads(read_tokenizer(WORD_TOKENIZER))
     stated["normalizer"]["normalizers"] = stated["normalizer"]["normalizers"][:2]  # keeps capitals
