@@ -36,12 +36,13 @@ KeySet = frozenset[str]
 @dataclass(frozen=True)
 class Table:
     """A written aggregate: one row per tuple of ``keys``, NULLs included. ``number`` is its place
-    among the tables of a lattice, -1 for one that was given."""
+    among the tables of a lattice, which lie under ``root``; -1 for one that was given."""
 
     keys: KeySet
     data: DataFrame
     rows: int
     number: int = -1
+    root: str = ""
 
 
 def read_set(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
@@ -193,7 +194,7 @@ def tabulate(source: DataFrame, features: Sequence[Feature], cells: DataFrame |
         counts = {r["_set"]: r["count"] for r in spark.read.schema("_set int").parquet(path).groupBy("_set").count().collect()}
         for keys in layer:
             data = read_set(spark, path, numbers[keys], StructType([f for f in schema if f.name != "_set"]))
-            tables[keys] = Table(keys, data, counts.get(numbers[keys], 0), numbers[keys])
+            tables[keys] = Table(keys, data, counts.get(numbers[keys], 0), numbers[keys], path)
     return tables
 
 
@@ -212,9 +213,8 @@ def value_of(feature: Feature) -> Column:
     return value.alias(feature.name)
 
 
-def groups_of(source: DataFrame, features: Sequence[Feature], cells: DataFrame | None = None) -> dict[KeySet, DataFrame]:
+def groups_of(tables: dict[KeySet, Table], features: Sequence[Feature]) -> dict[KeySet, DataFrame]:
     """``(keys, feature values)`` of each key set. Tuples with a NULL, which match no row, are left out."""
-    tables = tabulate(source, features, cells)
     out = {}
     for keys, group in by_key_set(list(features)).items():
         present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in sorted(keys)])
