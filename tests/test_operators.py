@@ -195,3 +195,13 @@ def test_models_without_ordered_categories_are_averaged_in_one_pass(spark, monke
     rows = found.predictions.collect()
     assert sorted(r["item_id"] for r in rows) == sorted(str(i) for i in range(40, 60)) and found.oof.count() == 40
     assert len({round(r["prediction"], 9) for r in rows}) <= 7 and "test_fold" not in written and "oof" not in written
+
+
+def test_registered_cross_fitting_boosts_as_the_original_run(spark, monkeypatch):
+    from keyfold.registry import model_queries
+    given, df = [], spark.createDataFrame([("a", "u", 1.0, 0.5), ("b", "u", 2.0, None)], "item_id string, user_id string, price double, deal_probability double")
+    monkeypatch.setattr(model_queries, "_FITTED", {})
+    monkeypatch.setattr(model_queries, "model_inputs", lambda spark, sf_dir: df)
+    monkeypatch.setattr(model_queries.crossfit, "cross_fit", lambda *args, **settings: given.append((args[2], settings["params"])))
+    model_queries.fitted(spark, "/nowhere")
+    assert given == [(["price"], BoostingParams())] and given[0][1].rounds == 3000 and given[0][1].patience == 30
