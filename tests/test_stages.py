@@ -143,3 +143,13 @@ def test_jobs_side_by_side_fail_as_one(spark):
     with pytest.raises(ZeroDivisionError):
         run_all(spark, [lambda: 1, lambda: 1 // 0])
     assert run_all(spark, [lambda n=n: n for n in range(6)], 2) == list(range(6))
+
+
+def test_stage_three_shuffles_no_wide_rows_by_id_unless_ids_repeat(spark, no_broadcast):
+    items = write_stage(base_items(spark, "/root/testdata/sf0.001").limit(500), "items")
+    for rows, joins in ((items, 0), (items.unionByName(items.limit(3)), 1)):
+        part1 = write_stage(stages.stage3_part1(rows), "part1")
+        out = stages.stage3(part1)
+        assert stages.ids_differ(part1) == (not joins) and plan(out).count("SortMergeJoin") == joins
+        joined = part1.join(write_stage(stages.stage3_features(part1), "counted"), "item_id", "left")
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, joined.select(*out.columns).collect()))
